@@ -12,10 +12,13 @@ from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------
 
-# every character that Unicode-aware text tools treat as white space
-WHITE_SPACE = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# every character that Unicode-aware text tools treat as white space: the
+# property and the four information separators
+WHITE_SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+WHITE_SPACE_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 TAG = r"<[^>]+>"
 TOKENS_PER_WORD = 1.8
@@ -35,7 +38,7 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 def strip(text: Column) -> Column:
     """Trim white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -57,7 +60,9 @@ def clean_markup(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for empty or null text."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE_SPACE}]+")), F.lit(0))
+    return F.when(
+        F.length(strip(text)) > 0, F.size(F.split(strip(text), f"{WS}+", -1))
+    ).otherwise(0)
 
 
 def token_estimate(words: Column) -> Column:

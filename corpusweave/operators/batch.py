@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.binding import settle
+
 # --- fixed values -----------------------------------------------------------
 
 RESULT = (
@@ -25,15 +27,14 @@ def parse_results(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     others = [c for c in lines.columns if c != value]
     choices = F.col("_result.response.body.choices")
-    return (
-        lines.where(F.trim(value) != "")
-        .select(*others, F.from_json(value, RESULT).alias("_result"))
-        .select(
-            *others,
-            F.col("_result.custom_id").alias("custom_id"),
-            F.get(choices, F.lit(0)).getField("message").getField("content").alias("content"),
-            choices.isNotNull().alias("is_usable"),
-        )
+    parsed = settle(
+        lines.where(F.trim(value) != ""), _result=F.from_json(value, RESULT)
+    )
+    return parsed.select(
+        *others,
+        F.col("_result.custom_id").alias("custom_id"),
+        F.get(choices, F.lit(0)).getField("message").getField("content").alias("content"),
+        choices.isNotNull().alias("is_usable"),
     )
 
 

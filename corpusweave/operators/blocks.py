@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.binding import let
 from corpusweave.functions.numerals import section_number
 from corpusweave.functions.text import WS
 
@@ -15,24 +16,6 @@ HEADER = rf"##{WS}+(סעיף|בסעיף){WS}+[(\'\"]*([א-ת]+|\p{{Nd}}+)[)\'\"]
 # --- end of fixed values ----------------------------------------------------
 
 
-def _named_blocks(text: Column) -> Column:
-    """Blocks whose header names a number, sorted by section and position."""
-    cut = F.split(text, f"(?={HEADER})", -1)
-    headed = F.filter(cut, lambda p: p.rlike(f"^{HEADER}"))
-    named = F.filter(
-        F.transform(
-            headed,
-            lambda p, i: F.struct(
-                section_number(F.regexp_extract(p, f"^{HEADER}", 2)).alias("section"),
-                i.alias("pos"),
-                F.regexp_replace(p, f"^{HEADER}", "").alias("text"),
-            ),
-        ),
-        lambda b: b.section.isNotNull(),
-    )
-    return F.array_sort(named)
-
-
 def section_blocks(text: Column) -> Column:
     """Blocks of a draft: ``ARRAY<STRUCT<section, pos, text>>``, one per section.
 
@@ -40,8 +23,23 @@ def section_blocks(text: Column) -> Column:
     Headers that name no number open no block; of several blocks with the same
     number the last counts.  All of it happens inside the row of the draft.
     """
-    blocks = _named_blocks(text)
-    following = F.transform(F.slice(blocks, 2, 2**31 - 1), lambda b: b.section)
+    # what precedes the first header belongs to no block
+    cut = F.filter(F.split(text, f"(?={HEADER})", -1), lambda p: p.rlike(f"^{HEADER}"))
+    blocks = F.transform(
+        cut,
+        lambda p, i: F.struct(
+            section_number(F.regexp_extract(p, f"^{HEADER}", 2)).alias("section"),
+            i.alias("pos"),
+            F.regexp_replace(p, f"^{HEADER}", "").alias("text"),
+        ),
+    )
+    named = F.array_sort(F.filter(blocks, lambda b: b.section.isNotNull()))
+    return let(named, _last_of_each)
+
+
+def _last_of_each(blocks: Column) -> Column:
+    """Last of every run of neighbours with the same section."""
+    following = F.slice(F.transform(blocks, lambda b: b.section), 2, 2**31 - 1)
     kept = F.zip_with(
         blocks, following, lambda b, s: F.when(s.isNull() | (s != b.section), b)
     )

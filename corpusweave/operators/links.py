@@ -11,6 +11,7 @@ from corpusweave.dimensions import (
     GLOSS_AUTHORITY,
     GLOSS_MARKER,
 )
+from corpusweave.functions.binding import settle
 from corpusweave.functions.refs import base_section
 
 
@@ -26,14 +27,18 @@ def orient_links(links: DataFrame) -> DataFrame:
     prefix = F.concat(F.lit(f"{BASE_WORK}, "), F.col("corpus"))
     ref = F.coalesce("ref", F.lit(""))
     anchor = F.coalesce("anchor_ref", F.lit(""))
-    ref_first, anchor_first = F.startswith(ref, prefix), F.startswith(anchor, prefix)
-    return (
-        links.withColumn("base_ref", F.when(ref_first, ref).when(anchor_first, anchor))
-        .withColumn("other_ref", F.when(ref_first, anchor).when(anchor_first, ref))
-        .where((F.col("base_ref") != "") & (F.col("other_ref") != ""))
-        .withColumn("section", base_section(F.col("base_ref"), F.col("corpus"), F.col("unit")))
-        .where(F.col("section") >= 1)
-    )
+    ends = settle(
+        links,
+        base_ref=F.when(F.startswith(ref, prefix), ref).when(
+            F.startswith(anchor, prefix), anchor
+        ),
+        other_ref=F.when(F.startswith(ref, prefix), anchor).when(
+            F.startswith(anchor, prefix), ref
+        ),
+    ).where((F.col("base_ref") != "") & (F.col("other_ref") != ""))
+    return settle(
+        ends, section=base_section(F.col("base_ref"), F.col("corpus"), F.col("unit"))
+    ).where(F.col("section") >= 1)
 
 
 def match_authorities(oriented: DataFrame, authorities: DataFrame) -> DataFrame:

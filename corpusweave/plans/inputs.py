@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.dimensions import BASE_WORK, CORPORA, ORACH_CHAYIM, YOREH_DEAH, Corpus
 from corpusweave.functions.numerals import letters
+from corpusweave.session import spread
 
 # Patterns for the languages of the documents, in place of the built-in ones.
 COMMON = {
@@ -50,7 +51,7 @@ DOCUMENT_CORPORA = tuple(_for_documents(c) for c in CORPORA)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def corpus_of(lang: Column) -> Column:
