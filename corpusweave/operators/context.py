@@ -66,7 +66,7 @@ def assemble_context(
         .withColumn("work_ord", F.when(F.col("_taken"), F.col("work_ord")))
         .withColumn("_block", F.coalesce(F.when(F.col("_taken"), F.col("_block")), F.lit(0)))
         .groupBy("corpus", "unit", "work_ord", "_block")
-        .agg(F.first("work").alias("work"), F.sum(F.when(F.col("_taken"), F.col("n"))).alias("n"))
+        .agg(F.first(F.when(F.col("_taken"), F.col("work"))).alias("work"), F.sum(F.when(F.col("_taken"), F.col("n"))).alias("n"))
         .withColumn("_any", F.count("work_ord").over(unit))
         .where((F.col("_any") == 0) | F.col("work_ord").isNotNull())
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -103,6 +103,7 @@ def assemble_context(
             ),
         )
         title = F.when(m.before == 0, fill(WORK_HEADER, work=m.work, unit=unit_no)).otherwise("")
+        # null for the layout entry of a unit that takes no work at all
         return F.coalesce(F.concat(title, F.array_join(entries, "")), F.lit(""))
 
     one = F.array(

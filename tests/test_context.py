@@ -1,0 +1,160 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusweave.dimensions import ORACH_CHAYIM, YOREH_DEAH, works_table
+from corpusweave.operators import prompts, segments
+from corpusweave.operators.context import assemble_context
+
+YD = YOREH_DEAH.key
+SEGMENTS = "corpus string, unit int, work string, position int, text string"
+UNITS = "corpus string, unit int, is_target boolean"
+
+
+def documents(contexts):
+    parts = {}
+    for r in sorted(contexts.collect(), key=lambda r: (r.corpus, r.unit, r.part_no)):
+        parts.setdefault((r.corpus, r.unit), []).append(r)
+    for rows in parts.values():
+        assert [r.part_no for r in rows] == list(range(1, len(rows) + 1))
+        assert {r.n_parts for r in rows} == {len(rows)}
+    return {key: "".join(r.text for r in rows) for key, rows in parts.items()}
+
+
+def header(unit):
+    rule = "=" * 41
+    return f"\n\n{rule}\n=== סימן {unit} ===\n{rule}\n\n"
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.createDataFrame(
+        [
+            (YD, 94, "Taz", 0, "t1"),
+            (YD, 94, "Shulchan Arukh", 1, "s2"),
+            (YD, 94, "Shulchan Arukh", 0, "s1"),
+            (YD, 94, "Tur", 0, ""),
+            (YD, 94, "Tur", 5, "u1"),
+            (YD, 93, "Taz", 0, "t1"),
+            (YD, 93, "Beit Yosef", 0, "b1"),
+            (YD, 93, "Tur", 0, "u1"),
+            (YD, 92, "Taz", 0, "only a commentary"),
+            (YD, 80, "Tur", 0, "not asked for"),
+        ],
+        SEGMENTS,
+    )
+
+
+def test_order_numbers_and_roles(spark, rows):
+    units = spark.createDataFrame(
+        [(YD, 94, True), (YD, 93, False), (YD, 92, False), (YD, 91, True)], UNITS
+    )
+    got = documents(assemble_context(units, works_table(spark), rows))
+    assert got == {
+        (YD, 94): header(94)
+        + "--- Tur (סימן 94) ---\n\n[1] u1\n\n"
+        + "--- Shulchan Arukh (סימן 94) ---\n\n[1] s1\n\n[2] s2\n\n"
+        + "--- Taz (סימן 94) ---\n\n[1] t1\n\n",
+        (YD, 93): header(93) + "--- Tur (סימן 93) ---\n\n[1] u1\n\n",
+        (YD, 92): header(92),
+        (YD, 91): header(91),
+    }
+
+
+def test_the_second_corpus_has_its_own_works(spark):
+    key = ORACH_CHAYIM.key
+    rows = spark.createDataFrame(
+        [(key, 1, "Mishna Berura", 0, "m"), (key, 1, "Magen Avraham", 0, "g")], SEGMENTS
+    )
+    units = spark.createDataFrame([(key, 1, True)], UNITS)
+    got = documents(assemble_context(units, works_table(spark), rows))[(key, 1)]
+    assert got.index("[1] g") < got.index("[1] m")
+
+
+def test_a_long_unit_comes_in_parts_of_the_same_text(spark):
+    rnd = random.Random(1)
+    works = ["Tur", "Beit Yosef", "Shulchan Arukh", "Shach", "Taz"]
+    data = [
+        (YD, u, w, p, rnd.choice(["", f"{w} {p}"]))
+        for u, n in ((1, 200), (2, 3))
+        for w in works
+        for p in rnd.sample(range(n * 2), n)
+    ]
+    rows = spark.createDataFrame(data, SEGMENTS)
+    units = spark.createDataFrame([(YD, 1, True), (YD, 2, True)], UNITS)
+    whole = assemble_context(units, works_table(spark), rows)
+    cut = assemble_context(units, works_table(spark), rows, block=16)
+    assert documents(whole) == documents(cut)
+    per_unit = {r.unit: r["count"] for r in cut.groupBy("unit").count().collect()}
+    assert per_unit[2] == 1 and per_unit[1] > 50
+    assert cut.agg(F.max(F.length("text"))).first()[0] < 700
+
+
+def test_blocked_numbers_equal_plain_numbers(spark):
+    rnd = random.Random(2)
+    data = [(k, p) for k, n in (("hot", 300), ("cold", 4)) for p in rnd.sample(range(999), n)]
+    df = spark.createDataFrame(data, "k string, p int")
+    got = {(r.k, r.p): r.seg_no for r in segments.number_rows(df, ["k"], "p", block=7).collect()}
+    for key in ("hot", "cold"):
+        mine = sorted(p for k, p in data if k == key)
+        assert [got[key, p] for p in mine] == list(range(1, len(mine) + 1))
+
+
+def test_missing_works_are_counted(spark, rows):
+    units = spark.createDataFrame([(YD, 94)], "corpus string, unit int")
+    got = {
+        r.work: (r.n_segments, r.is_missing)
+        for r in segments.unit_sources(units, works_table(spark), rows).collect()
+    }
+    assert got == {
+        "Tur": (1, False), "Beit Yosef": (0, True), "Shulchan Arukh": (2, False),
+        "Shach": (0, True), "Taz": (1, False),
+    }
+
+
+def test_no_target_table_makes_all_units_targets(spark):
+    units = spark.createDataFrame([(YD, 1)], "corpus string, unit int")
+    assert segments.mark_targets(units, None).first().is_target is True
+
+
+def test_draft_prompt_parts(spark, rows):
+    units = spark.createDataFrame([(YD, 94, True), (YD, 1200, True)], UNITS)
+    for block in (1, 4096):
+        contexts = assemble_context(units, works_table(spark), rows, block=block)
+        made = prompts.draft_prompts(contexts, F.lit("נושאי כלים")).where("unit = 94")
+        text = documents(made)[(YD, 94)]
+        assert text.count('צ"ד') == 2 and "נושאי כלים.\n" in text
+        assert documents(contexts)[(YD, 94)] in text
+    bad = prompts.draft_prompts(contexts, F.lit("")).where("unit = 1200").first()
+    assert bad.text is None and bad.error
+
+
+def test_relations_prompt(spark):
+    drafts = spark.createDataFrame(
+        [(YD, 94, "d94"), (YD, 95, "d95"), (YD, 97, "d97")],
+        "corpus string, unit int, text string",
+    )
+    requests = spark.createDataFrame(
+        [(1, YD, [94, 95, 96, 97]), (2, YD, [200])], "id int, corpus string, context array<int>"
+    )
+    whole = {r.id: r.text for r in prompts.relations_prompts(requests, drafts, ["id"]).collect()}
+    body = "".join(f"=== סימן {u} ===\nd{u}\n\n" for u in (94, 95, 97))
+    assert body in whole[1] and whole[1].startswith("להלן") and whole[1].endswith("ההנחיות.")
+    assert "===" not in whole[2]
+    parts = prompts.relations_prompts(requests, drafts, ["id"], part=1).where("id = 1").collect()
+    assert len(parts) == 4 - 1 + (0 if any(r.part_no == 3 for r in parts) else 0)
+    assert "".join(r.text for r in sorted(parts, key=lambda r: r.part_no)) == whole[1]
+
+
+def test_polish_targets_need_a_draft(spark):
+    targets = spark.createDataFrame(
+        [("r1", YD, 1), ("r2", YD, 1), ("r1", YD, 2)], "range_key string, corpus string, unit int"
+    )
+    drafts = spark.createDataFrame([(YD, 1, "d")], "corpus string, unit int, text string")
+    relations = spark.createDataFrame([("r1", "rel")], "range_key string, text string")
+    got = {
+        r.range_key: r.text
+        for r in prompts.polish_prompts(targets, drafts, relations, ["range_key"]).collect()
+    }
+    assert set(got) == {"r1", "r2"} and got["r2"] == "d" and "rel" in got["r1"]
