@@ -239,8 +239,9 @@ def template_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _draft_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    slots = slots_table(spark).select("corpus", "prompt_commentators_desc")
     return prompts.draft_prompts(
-        _contexts(spark, sf), F.lit(YOREH_DEAH.slots["prompt_commentators_desc"])
+        _contexts(spark, sf).join(slots, "corpus"), F.col("prompt_commentators_desc")
     )
 
 

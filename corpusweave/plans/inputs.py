@@ -116,12 +116,17 @@ def versioned_payloads(documents: DataFrame) -> DataFrame:
 ROLE_WORKS = {"user": BASE_WORK, "system": "Tur", "assistant": "Taz"}
 
 
+def unit_corpus(unit: Column) -> Column:
+    """Both corpora share the conversations: even ones are of the first."""
+    return F.when(unit % 2 == 0, YOREH_DEAH.key).otherwise(ORACH_CHAYIM.key)
+
+
 def conversation_segments(conversations: DataFrame) -> DataFrame:
     work = F.lit(None).cast("string")
     for role, name in ROLE_WORKS.items():
         work = F.when(F.col("role") == role, name).otherwise(work)
     return conversations.select(
-        F.lit(YOREH_DEAH.key).alias("corpus"),
+        unit_corpus(F.col("conv_id")).alias("corpus"),
         F.col("conv_id").alias("unit"),
         work.alias("work"),
         F.col("turn").alias("position"),
@@ -131,13 +136,13 @@ def conversation_segments(conversations: DataFrame) -> DataFrame:
 
 def conversation_units(conversations: DataFrame) -> DataFrame:
     return conversations.select(
-        F.lit(YOREH_DEAH.key).alias("corpus"), F.col("conv_id").alias("unit")
+        unit_corpus(F.col("conv_id")).alias("corpus"), F.col("conv_id").alias("unit")
     ).distinct()
 
 
 def target_units(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality") == 1).select(
-        F.lit(YOREH_DEAH.key).alias("corpus"), F.col("doc_id").alias("unit")
+        unit_corpus(F.col("doc_id")).alias("corpus"), F.col("doc_id").alias("unit")
     )
 
 

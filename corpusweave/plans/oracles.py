@@ -164,7 +164,7 @@ FROM audited LEFT JOIN bodies USING (corpus, unit) LEFT JOIN n_links USING (corp
 
 # --- conversations as segments ----------------------------------------------
 
-_SEGMENTS = """
+_SEGMENTS = f"""
   segs AS (
     SELECT conv_id AS unit, turn, text,
            CASE role WHEN 'user' THEN 'Shulchan Arukh' WHEN 'system' THEN 'Tur' ELSE 'Taz' END
@@ -172,7 +172,8 @@ _SEGMENTS = """
            CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 3 ELSE 5 END AS work_ord
     FROM conversations),
   convs AS (
-    SELECT conv_id AS unit, conv_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_target
+    SELECT conv_id AS unit, conv_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_target,
+           CASE WHEN conv_id % 2 = 0 THEN {_YD} ELSE {_OC} END AS corpus
     FROM (SELECT DISTINCT conv_id FROM conversations))"""
 
 _CONTEXT = f"""{_SEGMENTS},
@@ -193,12 +194,14 @@ _CONTEXT = f"""{_SEGMENTS},
 
 def _prompt(unit: str, context: str) -> str:
     opening, closing = templates.DRAFT_REQUIREMENTS, templates.DRAFT_CLOSING
-    opening = opening.replace("{authorities}", YOREH_DEAH.slots["prompt_commentators_desc"])
-    head, tail = opening.split("{numeral}")
+    first, rest = opening.split("{authorities}")
+    head, tail = rest.split("{numeral}")
+    names = [_q(c.slots["prompt_commentators_desc"]) for c in (YOREH_DEAH, ORACH_CHAYIM)]
+    authorities = f"CASE WHEN {unit} % 2 = 0 THEN {names[0]} ELSE {names[1]} END"
     c_head, c_tail = closing.split("{numeral}")
     g = _numeral(unit)
     return (
-        f"{_lit(head)} || {g} || {_lit(tail)} || {context} || {_lit(c_head)} || {g} ||"
+        f"{_lit(first)} || {authorities} || {_lit(head)} || {g} || {_lit(tail)} || {context} || {_lit(c_head)} || {g} ||"
         f" {_lit(c_tail)}"
     )
 
@@ -332,9 +335,13 @@ ends AS (
 SELECT corpus, unit, CASE status WHEN 'O' THEN o ELSE b END AS ref,
   CASE status WHEN 'O' THEN b ELSE o END AS anchor_ref, count(*) AS n FROM ends GROUP BY ALL""",
     "unit_sources": f"""WITH {_SEGMENTS},
-works AS (SELECT unnest(['Tur', 'Beit Yosef', 'Shulchan Arukh', 'Shach', 'Taz']) AS work)
+works AS (
+  SELECT {_YD} AS corpus, unnest(['Tur', 'Beit Yosef', 'Shulchan Arukh', 'Shach', 'Taz']) AS work
+  UNION ALL
+  SELECT {_OC}, unnest(['Tur', 'Beit Yosef', 'Shulchan Arukh', 'Magen Avraham', 'Taz',
+    'Mishna Berura']))
 SELECT c.unit, w.work, count(s.turn) AS n_segments, count(s.turn) = 0 AS is_missing
-FROM convs c CROSS JOIN works w
+FROM convs c JOIN works w USING (corpus)
 LEFT JOIN segs s ON s.unit = c.unit AND s.work = w.work AND s.text <> '' GROUP BY ALL""",
     "work_dim_join": f"""WITH {_SEGMENTS}
 SELECT unit, turn AS position, work, CAST(work_ord AS BIGINT) AS work_ord,
