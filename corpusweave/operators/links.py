@@ -74,10 +74,10 @@ def required_authorities(
         "unit",
         "section",
         F.explode(
-            F.array(
-                F.lit(ALWAYS_REQUIRED),
-                F.when(F.contains("text", F.lit(gloss_marker)), F.lit(GLOSS_AUTHORITY)),
-            )
+            F.when(
+                F.contains("text", F.lit(gloss_marker)),
+                F.array(F.lit(ALWAYS_REQUIRED), F.lit(GLOSS_AUTHORITY)),
+            ).otherwise(F.array(F.lit(ALWAYS_REQUIRED)))
         ).alias("authority"),
         F.lit(True).alias("exists"),
     )

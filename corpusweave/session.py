@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Splits of a scan that is worth dealing out: at most 4 GB at the default split size.
+SMALL_SCAN = 32
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -54,10 +57,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than there are cores.
+    """Deal out the rows of a small scan over the cores.
 
-    Such a scan is small, and one large row group would keep a single core busy
-    with all the text work that follows.  A scan of more splits is left alone.
+    One large row group would keep a single core busy with all the text work
+    that follows.  Only scans of few splits, and fewer than there are cores,
+    are shuffled for it; any larger scan is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SCAN)
+    return df.repartition(cores) if small else df

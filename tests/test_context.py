@@ -143,7 +143,8 @@ def test_relations_prompt(spark):
     assert body in whole[1] and whole[1].startswith("להלן") and whole[1].endswith("ההנחיות.")
     assert "===" not in whole[2]
     parts = prompts.relations_prompts(requests, drafts, ["id"], part=1).where("id = 1").collect()
-    assert len(parts) == 4 - 1 + (0 if any(r.part_no == 3 for r in parts) else 0)
+    # unit 96 has no draft, so there is no third part
+    assert sorted(r.part_no for r in parts) == [1, 2, 4]
     assert "".join(r.text for r in sorted(parts, key=lambda r: r.part_no)) == whole[1]
 
 
