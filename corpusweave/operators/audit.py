@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.dimensions import (
+    ALWAYS_REQUIRED,
     CORPORA,
+    GLOSS_AUTHORITY,
     GLOSS_MARKER,
     WHOLE_DRAFT_AUTHORITIES,
     Corpus,
@@ -53,23 +55,26 @@ WHOLE = 0
 
 
 def mention_counts(
-    text: Column,
-    corpus: Column,
-    corpora: tuple[Corpus, ...],
-    only: tuple[str, ...] | None = None,
+    text: Column, corpus: Column, corpora: tuple[Corpus, ...], whole: bool = False
 ) -> Column:
     """``MAP<authority, count>`` of non-overlapping, case-insensitive mentions.
 
-    The patterns are literals of the plan: each is compiled once per task.
+    Counted are the authorities that a section can require or, for a whole
+    draft, those that are looked for in it as a whole.  The patterns are
+    literals of the plan: each is compiled once per task.
     """
     by_corpus = None
     for c in corpora:
+        in_sections = (ALWAYS_REQUIRED, GLOSS_AUTHORITY, *(a.name for a in c.linked))
+        names = WHOLE_DRAFT_AUTHORITIES if whole else in_sections
         counts = F.create_map(
             *[
                 cell
-                for name, pattern in c.patterns.items()
-                if only is None or name in only
-                for cell in (F.lit(name), F.regexp_count(text, F.lit(f"(?iu){pattern}")))
+                for name in names
+                for cell in (
+                    F.lit(name),
+                    F.regexp_count(text, F.lit(f"(?iu){c.patterns[name]}")),
+                )
             ]
         )
         hit = corpus == c.key
@@ -94,7 +99,7 @@ def _draft_cells(drafts: DataFrame, corpora: tuple[Corpus, ...]) -> DataFrame:
         "section",
         F.when(
             F.col("section") == WHOLE,
-            mention_counts(text, corpus, corpora, WHOLE_DRAFT_AUTHORITIES),
+            mention_counts(text, corpus, corpora, whole=True),
         )
         .otherwise(mention_counts(text, corpus, corpora))
         .alias("mentions"),

@@ -33,7 +33,7 @@ def section_blocks(text: Column) -> Column:
             F.regexp_replace(p, f"^{HEADER}", "").alias("text"),
         ),
     )
-    named = F.array_sort(F.filter(blocks, lambda b: b.section.isNotNull()))
+    named = F.sort_array(F.filter(blocks, lambda b: b.section.isNotNull()))
     return let(named, _last_of_each)
 
 
