@@ -89,7 +89,8 @@ def _draft_cells(drafts: DataFrame, corpora: tuple[Corpus, ...]) -> DataFrame:
     leave the task.
     """
     whole = F.struct(F.lit(WHOLE).alias("section"), F.lit(0).alias("pos"), F.col("text"))
-    cells = drafts.select(
+    texts = drafts.select("corpus", "unit", F.coalesce("text", F.lit("")).alias("text"))
+    cells = texts.select(
         "corpus", "unit", "text", section_blocks(F.col("text")).alias("blocks")
     ).select("corpus", "unit", F.inline(F.array_prepend("blocks", whole)))
     text, corpus = F.col("text"), F.col("corpus")

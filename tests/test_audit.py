@@ -125,6 +125,7 @@ def audited(spark):
             (YD, 96, GOOD),
             (YD, 97, "## סעיף א## סעיף ב \n"),
             (YD, 98, "x"),
+            (YD, 99, None),
         ],
         DRAFT,
     )
@@ -138,6 +139,7 @@ def audited(spark):
             (YD, 97, 1, "א"),
             (YD, 97, 2, "ב"),
             (YD, 93, 1, "no draft"),
+            (YD, 99, 1, None),
             *[(YD, 98, n, "x") for n in range(1, 1001)],
         ],
         BASE,
@@ -156,7 +158,11 @@ def audited(spark):
 
 
 def test_only_drafts_are_audited(audited):
-    assert set(audited) == {94, 95, 96, 97, 98}
+    assert set(audited) == {94, 95, 96, 97, 98, 99}
+
+
+def test_draft_without_text_misses_everything(audited):
+    assert (audited[99].missing, audited[99].general_flags) == ([1], 2)
 
 
 def test_good_draft(audited):

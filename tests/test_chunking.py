@@ -52,7 +52,7 @@ def test_sentence_end_needs_white_space(column):
 
 
 @settings(
-    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.text("ab .!?\n", max_size=60), min_size=1, max_size=15), st.integers(4, 12))
 def test_nothing_is_lost_or_moved(column, texts, limit):
@@ -61,7 +61,9 @@ def test_nothing_is_lost_or_moved(column, texts, limit):
 
 
 def test_chunk_table(spark):
-    docs = spark.createDataFrame([(1, "aa\nbbbbb\ncc"), (2, "x")], "id int, text string")
+    docs = spark.createDataFrame(
+        [(1, "aa\nbbbbb\ncc"), (2, "x"), (3, None)], "id int, text string"
+    )
     table = chunk_texts(docs, ["id"], limit=8)
     assert sorted(map(tuple, table.collect())) == [
         (1, 1, "aa"), (1, 2, "bbbbb"), (1, 3, "cc"), (2, 1, "x"),

@@ -147,6 +147,34 @@ def test_versioned_store(spark):
     assert got == {("draft", "1"): "b", ("relations", "9"): "r"}
 
 
+def test_a_batch_saved_twice_is_there_once(spark):
+    store = scratch_path(spark, "store")
+    for text in ("a", "b"):
+        df = spark.createDataFrame([artefact("1", 0, 1, text), artefact("2", 0, 2, "c")], ARTEFACT)
+        artefacts.save_versions(df, store, batch="7")
+    artefacts.save_versions(
+        spark.createDataFrame([artefact("2", -5, 3, "old")], ARTEFACT), store, batch="8"
+    )
+    assert artefacts.read_history(spark, store).count() == 3
+    got = {r.unit_key: r.text for r in artefacts.read_latest(spark, store).collect()}
+    assert got == {"1": "b", "2": "c"}
+
+
+def test_context_files(spark):
+    path = scratch_path(spark, "contexts")
+    rows = [(YD, 94, 1, 2, "a\n\n"), (YD, 94, 2, 2, "b"), (YD, 95, 1, 1, "c")]
+    artefacts.write_context_files(
+        spark.createDataFrame(
+            rows, "corpus string, unit int, part_no int, n_parts int, text string"
+        ),
+        path,
+    )
+    got = spark.read.text(path, wholetext=True).collect()
+    assert {(r.corpus, r.unit, r.part_no, r.value) for r in got} == {
+        (YD, 94, 1, "a\n\n\n"), (YD, 94, 2, "b\n"), (YD, 95, 1, "c\n"),
+    }
+
+
 def test_binary_artefacts(spark):
     schema = ARTEFACT.replace("text string", "text binary")
     store = scratch_path(spark, "store")
