@@ -50,8 +50,13 @@ def _for_documents(corpus: Corpus) -> Corpus:
 DOCUMENT_CORPORA = tuple(_for_documents(c) for c in CORPORA)
 
 
+# Tables whose rows take much work: long texts, specs to parse.
+HEAVY_ROWS = ("documents", "pages", "conversations", "orders", "customer")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY_ROWS else rows
 
 
 def corpus_of(lang: Column) -> Column:
