@@ -270,6 +270,34 @@ def prompt_polish(spark: SparkSession, sf: str) -> DataFrame:
     ).select("request_id", "unit", "text")
 
 
+def polish_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of direct polish calls, written as JSON and read back."""
+    asked = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("request_id"), "c_mktsegment"
+    )
+    model = F.when(F.col("c_mktsegment") == "MACHINERY", "o3").otherwise("gpt-5.2")
+    tier = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "").otherwise("flex")
+    body = prompts.chat_body(
+        model, F.lit("speak"), F.col("text"), F.lit(prompts.POLISH_TEMPERATURE), tier
+    )
+    schema = (
+        "struct<model: string, messages: array<struct<role: string, content: string>>,"
+        "temperature: double, service_tier: string>"
+    )
+    sent = prompt_polish(spark, sf).join(asked, "request_id")
+    return sent.select(
+        "request_id", "unit", F.from_json(F.to_json(body), schema).alias("b")
+    ).select(
+        "request_id",
+        "unit",
+        "b.model",
+        F.get("b.messages", F.lit(0)).role.alias("first_role"),
+        F.get("b.messages", F.lit(1)).content.alias("prompt"),
+        "b.temperature",
+        "b.service_tier",
+    )
+
+
 # --- links, blocks, audit ---------------------------------------------------
 
 
@@ -518,6 +546,27 @@ def latest_version(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def artefact_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Events saved to a versioned store in two batches; its latest copies."""
+    saved = table(spark, sf, "events").select(
+        F.col("event_type").alias("kind"),
+        inputs.unit_corpus(F.col("user_id")).alias("corpus"),
+        F.col("user_id").cast("string").alias("unit_key"),
+        F.lit("gpt-5.2").alias("model"),
+        "ts",
+        F.col("event_id").alias("version_id"),
+        F.col("props").alias("text"),
+        (F.col("value") >= 5).alias("late"),
+    )
+    store = scratch_path(spark, "store")
+    for batch_name, late in (("1", False), ("2", True)):
+        part = saved.where(F.col("late") == late).drop("late")
+        artefacts.save_versions(part, store, batch=batch_name, buckets=2)
+    return artefacts.read_latest(spark, store).select(
+        "kind", "corpus", "unit_key", "version_id", "text"
+    )
+
+
 # --- statistics -------------------------------------------------------------
 
 
@@ -578,6 +627,7 @@ QUERIES = {
         prompt_draft,
         prompt_relations,
         prompt_polish,
+        polish_requests,
         batch_requests,
         batch_results,
         batch_join,
@@ -587,6 +637,7 @@ QUERIES = {
         reassemble_chunks,
         version_history,
         latest_version,
+        artefact_store,
         artefact_name,
         corpus_stats,
         cost_estimate,

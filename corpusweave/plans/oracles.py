@@ -460,6 +460,18 @@ SELECT c.c_custkey AS request_id, doc_id AS unit,
     {_lit(templates.POLISH.split("{relations}")[1].split("{draft}")[0])} || text
   ELSE text END AS text
 FROM customer c JOIN documents ON doc_id = c_custkey LEFT JOIN relations USING (c_custkey)
+WHERE c.c_custkey > 0""",
+    "polish_requests": f"""WITH {_CUSTOMER_RELATIONS}
+SELECT c.c_custkey AS request_id, doc_id AS unit,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'o3' ELSE 'gpt-5.2' END AS model,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'developer' ELSE 'system' END AS first_role,
+  CASE WHEN coalesce(relations, '') <> '' THEN
+    {_lit(templates.POLISH.split("{relations}")[0])} || relations ||
+    {_lit(templates.POLISH.split("{relations}")[1].split("{draft}")[0])} || text
+  ELSE text END AS prompt,
+  CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(0.1 AS DOUBLE) END AS temperature,
+  CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN 'flex' END AS service_tier
+FROM customer c JOIN documents ON doc_id = c_custkey LEFT JOIN relations USING (c_custkey)
 WHERE c.c_custkey > 0""",
     "batch_requests": f"""WITH {_CONTEXT}
 SELECT unit, CASE WHEN NOT ok THEN 'unit has no numeral' END AS error,
@@ -503,6 +515,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc(
   ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "latest_version": """
 SELECT user_id, event_type, event_id, value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
+  ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
+    "artefact_store": f"""
+SELECT event_type AS kind, CASE WHEN user_id % 2 = 0 THEN {_YD} ELSE {_OC} END AS corpus,
+  CAST(user_id AS VARCHAR) AS unit_key, event_id AS version_id, props AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
   ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "artefact_name": f"""
