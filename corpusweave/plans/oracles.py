@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL over the given tables, written independently.
 
-Nothing here is shared with the operators: units, links, numerals and reports
-are worked out from the raw columns.
+Only the fixed prompt wording and slot values are shared with the operators:
+units, links, numerals, chunks and reports are worked out from the raw columns.
 """
 
 from __future__ import annotations
