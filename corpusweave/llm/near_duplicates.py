@@ -59,27 +59,34 @@ def _digest(found: np.ndarray) -> int:
     return int(hashing.mix(np.array([total + np.uint64(len(found))]))[0].astype(np.int64))
 
 
+def row_digest(key: str, text: str) -> Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node`` (digest of the set, null if it is empty) and the signature."""
+    """``doc_id, row`` (digest of id and text), ``n_shingles, node`` (digest of the set, null if
+    it is empty) and the signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions()
         for batch in batches:
             sizes, nodes, chunks = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 found = hashing.shingles(hashing.word_hashes(value.as_py()), width)
                 sizes.append(len(found))
                 nodes.append(_digest(found) if len(found) else None)
                 chunks.append(signature(found, a, b) if len(found) else np.zeros(CHUNKS, np.int64))
             columns = np.array(chunks, np.int64).reshape(-1, CHUNKS).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
                 + [pa.array(c) for c in columns],
-                ["doc_id", "n_shingles", "node", *SIGNATURE],
+                ["doc_id", "row", "n_shingles", "node", *SIGNATURE],
             )
 
-    schema = "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SIGNATURE)
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(sign, schema)
+    names = ["doc_id", "row", "n_shingles", "node", *SIGNATURE]
+    rows = docs.select(F.col(key).cast("long"), row_digest(key, text), F.col(text))
+    return rows.mapInArrow(sign, ", ".join(f"{n} long" for n in names))
 
 
 def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -240,8 +247,9 @@ def near_duplicates(
     Inside a family whole sets are compared (``family_links``), and confirmed
     links make the components.
 
-    Returns one row per document: ``doc_id, n_shingles, node, component_id``
-    (smallest id reachable) and ``kept`` (it is that id).  Null or blank texts
+    Returns one row per document: ``doc_id, row`` (digest of id and text),
+    ``n_shingles, node, root`` (digests of the set and of its component),
+    ``component_id`` (smallest id reachable) and ``kept`` (it is that id).  Null or blank texts
     have no shingles (node null) and stand alone; a null id is a component's
     id only if all of its ids are null; rows that repeat an id and a text are
     kept or not together.  Other columns are not read.
@@ -286,12 +294,12 @@ def near_duplicates(
     named = classes.select("node", "least").join(found, "node", "left")
     named = named.select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("node", "component_id")
+    named = named.join(ids, "root").select("node", "root", "component_id")
     alone = F.col("node").isNull()
     return (
-        light.select("doc_id", "n_shingles", "node")
+        light.select("doc_id", "row", "n_shingles", "node")
         .join(named, "node", "left")
         .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "node", "component_id", "kept")
+        .select("doc_id", "row", "n_shingles", "node", "root", "component_id", "kept")
     )

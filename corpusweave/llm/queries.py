@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import near_duplicates, packing, sharding, urls
+from corpusweave.llm import near_duplicates, packing, repeats, sharding, toxicity, urls
 
 TOKENIZERS = "/opt/tokenizers"
 URL_RULES = [
@@ -31,6 +31,11 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    cut = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("record.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -40,6 +45,18 @@ def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("is_toxic").alias("predicted"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at")
