@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import near_duplicates, packing, repeats, sharding, toxicity, urls
+from corpusweave.llm import html_text, near_duplicates, packing, repeats, sharding, toxicity, urls
 
 TOKENIZERS = "/opt/tokenizers"
 URL_RULES = [
@@ -74,6 +74,16 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf, "pages"))
+    return found.select(
+        "record.page_id",
+        "record.url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("long").alias("n_chars"),
+    )
+
+
 def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     linked = near_duplicates.near_duplicates(table(spark, sf, "documents"))
     return linked.select("doc_id", "n_shingles", "component_id", "kept")
