@@ -109,3 +109,20 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         links = written(small)
+
+
+def forest(a: list, b: list) -> list[tuple]:
+    """A spanning forest of a few links (a, b), inside a task."""
+    top: dict = {}
+
+    def root(x):
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    kept = []
+    for x, y in zip(a, b):
+        if (rx := root(x)) != (ry := root(y)):
+            top[max(rx, ry)] = min(rx, ry)
+            kept.append((x, y))
+    return kept

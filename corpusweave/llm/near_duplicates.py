@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import hashing
-from corpusweave.llm.common import components, ranked, written
+from corpusweave.llm.common import components, forest, ranked, written
 
 WIDTH = 4
 PERCENT = 80
@@ -210,20 +210,7 @@ def _spanning(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     common = np.rint(common).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - common
     left, right = np.nonzero(np.triu(100 * common >= percent * union, 1))
-    top = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    forest = []
-    for x, y in zip(left.tolist(), right.tolist()):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            top[max(rx, ry)] = min(rx, ry)
-            forest.append((nodes[x], nodes[y]))
-    return forest
+    return [(nodes[x], nodes[y]) for x, y in forest(left.tolist(), right.tolist())]
 
 
 def _ordered(left: str, right: str) -> list[Column]:

@@ -7,7 +7,18 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import html_text, near_duplicates, packing, repeats, sharding, toxicity, urls
+from corpusweave.llm import (
+    html_text,
+    near_duplicates,
+    neighbours,
+    packing,
+    pieces,
+    repeats,
+    sharding,
+    toxicity,
+    urls,
+    vector_links,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 URL_RULES = [
@@ -27,10 +38,22 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_random_projection_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_subspace_pigeonhole(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_links.vector_links(table(spark, sf, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("record.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
