@@ -5,8 +5,8 @@ within 40 bytes on either side.  Triggers depend on the bytes around them
 alone, so equal passages are parsed alike, and phrases from trigger to trigger
 take the place of single bytes.  The 400-byte strings that start in one phrase
 form a run.  Its dictionary entry is the whole stretch that they cover, its
-name in the parse the 96 bytes around the next trigger, which each of the
-strings contains.  Corpus order is only needed as far as strings agree in 400
+name in the parse the bytes after the next trigger that each of the strings
+contains (305, less for strings that start far before it).  Corpus order is only needed as far as strings agree in 400
 bytes, so ranks are fingerprints (64 bits) and not places in a sorted array:
 
 * strings can be equal only under one name; a name that occurs once has none,
@@ -14,7 +14,8 @@ bytes, so ranks are fingerprints (64 bits) and not places in a sorted array:
 * where a name has several entries, the suffixes of each different entry are
   put in order by their first 400 bytes, one entry standing for all its copies.
 
-Strings without a trigger inside (monotonous text) are entries of their own.
+Strings without a trigger inside (monotonous text) are entries of their own;
+those that occur again in their own text are known to repeat at once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from corpusweave.llm.common import written
 LENGTH = 400
 GRAM = 16
 RADIUS = 40
-NAME = 96
+ZONE = 96
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -74,22 +75,47 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     last = np.minimum(at - RADIUS, last_start)
     some = first <= last
     at, first, last = at[some], first[some], last[some]
-    name = hashing.spans(sums, at - RADIUS, at - RADIUS + NAME)
-    entry = hashing.spans(sums, first, last + length)
-    entry = hashing.mix(entry + hashing.mix(((at - first) << 32 | (last - first)).astype(np.uint64)))
     covered = np.zeros(last_start + 2, np.int8)
     np.add.at(covered, first, 1)
     np.add.at(covered, last + 1, -1)
     bare = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
-    whole = hashing.mix(hashing.spans(sums, bare, bare + length) + np.uint64(1))
+
+    # by how far a string starts before the trigger: the nearer, the longer what all share
+    low, high = (at - RADIUS - last) // ZONE, (at - RADIUS - first) // ZONE
+    each = np.repeat(np.arange(len(at)), high - low + 1)
+    zone = np.arange(len(each)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    zone += low[each]
+    start = at[each] - RADIUS
+    first = np.maximum(first[each], start - ZONE * (zone + 1) + 1)
+    last = np.minimum(last[each], start - ZONE * zone)
+    name = hashing.spans(sums, start, start + length - ZONE * (zone + 1) + 1)
+    name = hashing.mix(name + zone.astype(np.uint64))
+    entry = hashing.spans(sums, first, last + length)
+    entry = hashing.mix(entry + hashing.mix(((start - first) << 32 | (last - first)).astype(np.uint64)))
+
+    whole, alone, twice, twice_last = _bare(sums, bare, length)
     return (
-        np.concatenate((name, whole)),
-        np.concatenate((entry, whole)),
-        np.concatenate((first, bare)),
-        np.concatenate((last, bare)),
+        np.concatenate((name, whole, np.repeat(hashing.mix(~hashing.spans(sums, twice, twice + length)), 2))),
+        np.concatenate((entry, whole, np.zeros(2 * len(twice), np.uint64))),
+        np.concatenate((first, alone, np.repeat(twice, 2))),
+        np.concatenate((last, alone, np.repeat(twice_last, 2))),
     )
 
 
+def _bare(sums: np.ndarray, bare: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Strings without a trigger: each different one once (hash, place), and the stretches
+    (first, last) of those that occur again in the text itself."""
+    hashes = hashing.mix(hashing.spans(sums, bare, bare + length) + np.uint64(1))
+    whole, place, which, n = np.unique(
+        hashes, return_index=True, return_inverse=True, return_counts=True
+    )
+    again = bare[n[which] > 1]
+    breaks = np.flatnonzero(np.diff(again) > 1)
+    ends = np.append(breaks, len(again) - 1) if len(again) else breaks
+    starts = np.concatenate(([0], breaks + 1)) if len(again) else breaks
+    return whole, bare[place], again[starts], again[ends]
+
+
 def _bytes(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -159,12 +185,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``doc, spans`` (array of ``s, e``) of the bytes of ``texts(doc, text)`` that lie in a
     400-byte string that also starts anywhere else; spans may overlap."""
-    parsed = written(
-        texts.mapInArrow(_parse, "doc long, name long, entry long, first long, last long")
-    )
+    # parsed twice, which is cheaper than keeping the parse of everything
+    parsed = texts.mapInArrow(_parse, "doc long, name long, entry long, first long, last long")
     names = parsed.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.min("entry").alias("lo"), F.max("entry").alias("hi")
     )
+    narrow = [F.col(c).cast("int") for c in ("first", "last")]
+    parsed = parsed.select("doc", "name", "entry", *narrow)
     shared = parsed.join(names.where("n > 1").drop("n"), "name")
     shared = written(shared.select("doc", "entry", "first", "last", F.expr("lo < hi").alias("mixed")))
     whole = shared.where("not mixed")
