@@ -15,10 +15,11 @@ from corpusweave.llm.hashing import BASE
 GRAMS = (4, 5, 6)
 HASH_BITS = 30
 SIEVE_BITS = 20
+COUNT_BITS = 22
 THRESHOLD = 0.7
 # the classifier is fitted on at most so many confirmed toxic and unlabelled texts
 MAX_POSITIVE = 1500
-MAX_UNLABELLED = 3500
+MAX_UNLABELLED = 3000
 MAX_FEATURES = 1536
 MIN_LIFT = 2.0
 STEPS = 400
@@ -74,12 +75,26 @@ class Classifier:
 
 def choose_grams(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """The runs whose share of texts differs most surely between the two samples."""
-    values, at = np.unique(np.concatenate(positive + unlabelled), return_inverse=True)
-    split = sum(map(len, positive))
-    p = np.bincount(at[:split], minlength=len(values)) / len(positive)
-    u = np.bincount(at[split:], minlength=len(values)) / len(unlabelled)
-    spread = np.sqrt((p + u) / 2 * (1 / len(positive) + 1 / len(unlabelled)) + 1e-9)
-    sure = np.abs(p - u) / spread
+    mask = (1 << COUNT_BITS) - 1
+
+    def surely(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        p, u = p / len(positive), u / len(unlabelled)
+        spread = np.sqrt((p + u) / 2 * (1 / len(positive) + 1 / len(unlabelled)) + 1e-9)
+        return np.abs(p - u) / spread
+
+    # first by fewer bits, in two tables of fixed size, then exactly what is left
+    tables = np.zeros((2, 1 << COUNT_BITS), np.int32)
+    for table, sets in zip(tables, (positive, unlabelled)):
+        for found in sets:
+            table[np.unique(found & mask)] += 1
+    maybe = surely(*tables) > 3
+    parts = [[s[maybe[s & mask]] for s in sets] for sets in (positive, unlabelled)]
+    values, at = np.unique(np.concatenate(parts[0] + parts[1]), return_inverse=True)
+    split = sum(map(len, parts[0]))
+    p = np.bincount(at[:split], minlength=len(values))
+    u = np.bincount(at[split:], minlength=len(values))
+    sure = surely(p, u)
+    p, u = p / len(positive), u / len(unlabelled)
     lift = np.maximum(p, u) / np.maximum(np.minimum(p, u), 1 / (len(positive) + len(unlabelled)))
     sure[lift < MIN_LIFT] = 0
     best = np.argsort(-sure, kind="stable")[:MAX_FEATURES]
