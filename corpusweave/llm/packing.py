@@ -18,7 +18,7 @@ UNIT = 16
 DEPTH = 3
 END_ID = 2
 # words whose ids a worker remembers; at the limit it starts afresh
-MEMORY = 300_000
+MEMORY = 500_000
 PART_ROWS = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -37,26 +37,50 @@ def _tokenizer(path: str):
 class WordIds:
     """Ids of a text as little-endian 32-bit bytes, put together from its words.
 
-    For tokenizers that never join what white space parts and drop the white
-    space itself: the ids of a text are then those of its words in a row.
+    For tokenizers that never join what white space parts, drop the white
+    space itself, lower-case, and keep letters apart from punctuation: the ids
+    of a text are then those of its words in a row, and a full stop or comma
+    after a letter has ids of its own.  New words go to the tokenizer in one
+    string, parted by its end-of-text token.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.known: dict[str, bytes] = {"": b""}
 
+    def _look_up(self, words: list[str]) -> None:
+        joined = self.mark.join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark_id)
+        if self.mark_id is None or len(ends) != len(words) - 1:  # the mark stands in a word itself
+            found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
+            return
+        whole, at = ids.tobytes(), 0
+        for word, end in zip(words, [*ends.tolist(), len(ids)]):
+            self.known[word] = whole[4 * at : 4 * end]
+            at = end + 1
+
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
-        new = list({w for w in words if w not in known})
+        new = {w for w in words if w not in known}
         if new:
             if len(known) > MEMORY:
                 known.clear()
                 known[""] = b""
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-            known[""] = b""
+                new = set(words) - {""}
+            base = {}
+            for word in new:
+                stem, stop = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].lower()[-1:].isalpha() else (word, "")
+                base[word] = (stem.lower() if stem.isascii() else stem, stop)
+            wanted = {part for pair in base.values() for part in pair if part not in known}
+            if wanted:
+                self._look_up(list(wanted))
+            for word, (stem, stop) in base.items():
+                known[word] = known[stem] + known[stop]
         return b"".join(map(known.__getitem__, words))
 
 

@@ -18,7 +18,7 @@ UNKNOWN_PENALTY = 10.0
 # positions kept before the search looks for a boundary to commit
 LOOK = 64
 # stretches whose ids a worker remembers; at the limit it starts afresh
-MEMORY = 300_000
+MEMORY = 1_000_000
 
 
 class PieceModel:

@@ -40,7 +40,8 @@ def external_shuffle(
     are values like others, a null size counts as 0; no records, no rows.
     """
     if place is None:
-        copies = records.groupBy(F.struct("*").alias("record"), size.alias("size")).count()
+        copies = records.select(F.struct("*").alias("record"), size.alias("size"))
+        copies = copies.groupBy("record", "size").count()
         copies = copies.select("record", "size", F.explode(F.sequence(F.lit(1), "count")).alias("no"))
         scatter = [F.col("record"), F.col("no")]
         rows = copies.select("record", "size", F.xxhash64(F.lit(seed), *scatter).alias("h"))
