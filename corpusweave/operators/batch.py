@@ -53,12 +53,18 @@ def first_usable(
     )
 
 
-def join_results(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """Requests against results: ``state`` is complete, pending or orphan."""
+def join_results(
+    requests: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("custom_id",)
+) -> DataFrame:
+    """Requests against results: ``state`` is complete, pending or orphan.
+
+    A custom id names a unit but not its corpus: where several jobs were sent,
+    ``keys`` must hold the job too.
+    """
     asked = requests.withColumn("_asked", F.lit(True))
     came = results.withColumn("_came", F.lit(True))
     return (
-        asked.join(came, "custom_id", "full_outer")
+        asked.join(came, list(keys), "full_outer")
         .withColumn(
             "state",
             F.when(F.col("_asked").isNull(), "orphan")

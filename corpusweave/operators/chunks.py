@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.binding import settle
 from corpusweave.functions.chunking import CHUNK_LIMIT, chunks
 
 # Chunks per part of a re-assembled artefact.
@@ -20,12 +21,18 @@ def chunk_texts(
     ).select(*keys, (F.col("_pos") + 1).alias("chunk_no"), "chunk")
 
 
-def chunk_stats(chunked: DataFrame, keys: list[str]) -> DataFrame:
-    """Number, total and largest size of the chunks of each text."""
-    return chunked.groupBy(*keys).agg(
-        F.count("*").alias("n_chunks"),
-        F.sum(F.length("chunk")).alias("total_chars"),
-        F.max(F.length("chunk")).alias("max_chars"),
+def chunk_stats(
+    texts: DataFrame, keys: list[str], text: str = "text", limit: int = CHUNK_LIMIT
+) -> DataFrame:
+    """Number, total and largest size of the chunks of each text.  No shuffle."""
+    cut = settle(
+        texts.select(*keys, text), _sizes=F.transform(chunks(F.col(text), limit), F.length)
+    )
+    return cut.where(F.size("_sizes") > 0).select(
+        *keys,
+        F.size("_sizes").cast("bigint").alias("n_chunks"),
+        F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("total_chars"),
+        F.array_max("_sizes").alias("max_chars"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.dimensions import YOREH_DEAH, authorities_table, slots_table, works_table
+from corpusweave.dimensions import ORACH_CHAYIM, YOREH_DEAH, authorities_table, slots_table, works_table
 from corpusweave.functions import naming, payloads, refs, templates, text
 from corpusweave.functions.chunking import CHUNK_LIMIT, SMALL_CHUNK_LIMIT
 from corpusweave.operators import (
@@ -444,12 +444,14 @@ def batch_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Each labelled unit was asked for in the jobs of both corpora; a result answers its own."""
+    unit = naming.custom_id_unit(F.col("custom_id"))
+    jobs = F.array(F.lit(YOREH_DEAH.key), F.lit(ORACH_CHAYIM.key))
     asked = table(spark, sf, "labels").select(
-        naming.custom_id(F.col("doc_id")).alias("custom_id"), "quality"
-    )
-    return batch.join_results(asked, _results(spark, sf)).withColumn(
-        "unit", naming.custom_id_unit(F.col("custom_id"))
+        F.explode(jobs).alias("job"), naming.custom_id(F.col("doc_id")).alias("custom_id"), "quality"
     )
+    came = _results(spark, sf).withColumn("job", inputs.unit_corpus(unit))
+    return batch.join_results(asked, came, ("job", "custom_id")).withColumn("unit", unit)
 
 
 def status_route(spark: SparkSession, sf: str) -> DataFrame:
@@ -501,8 +503,7 @@ def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    cut = chunks.chunk_texts(table(spark, sf, "documents"), ["doc_id"], limit=CHUNK_LIMIT)
-    return chunks.chunk_stats(cut, ["doc_id"])
+    return chunks.chunk_stats(table(spark, sf, "documents"), ["doc_id"], limit=CHUNK_LIMIT)
 
 
 def reassemble_chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -487,13 +487,15 @@ FROM (SELECT *, unit BETWEEN 1 AND 999 AS ok FROM contexts)""",
     "batch_results": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
     "result_files": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
     "stream_results": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
-    "batch_join": f"""WITH {_FIRST_RESULT}
-SELECT coalesce(a.custom_id, r.custom_id) AS custom_id, quality, content,
+    "batch_join": f"""WITH {_FIRST_RESULT}, jobs(job) AS (VALUES ({_YD}), ({_OC}))
+SELECT coalesce(a.job, r.job) AS job, coalesce(a.custom_id, r.custom_id) AS custom_id, quality, content,
   CASE WHEN a.custom_id IS NULL THEN 'orphan' WHEN r.custom_id IS NULL THEN 'pending'
     ELSE 'complete' END AS state,
-  CAST(regexp_extract(coalesce(a.custom_id, r.custom_id), '[0-9]+') AS INT) AS unit
-FROM (SELECT 'siman_' || doc_id || '_generation' AS custom_id, quality FROM labels) a
-FULL JOIN first_results r ON a.custom_id = r.custom_id""",
+  CAST(regexp_extract(coalesce(a.custom_id, r.custom_id), '[0-9]+') AS BIGINT) AS unit
+FROM (SELECT job, 'siman_' || doc_id || '_generation' AS custom_id, quality FROM labels, jobs) a
+FULL JOIN (SELECT *, CASE WHEN CAST(regexp_extract(custom_id, '[0-9]+') AS BIGINT) % 2 = 0
+    THEN {_YD} ELSE {_OC} END AS job FROM first_results) r
+  ON a.custom_id = r.custom_id AND a.job = r.job""",
     "status_route": """
 SELECT event_id, CASE WHEN event_type = 'click' AND value >= 5 THEN 'keep'
   WHEN event_type IN ('view', 'signup') THEN 'pending' ELSE 'failed' END AS route FROM events""",

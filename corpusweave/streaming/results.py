@@ -9,6 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusweave.operators.batch import first_usable, parse_results
 
 ORDER = ["batch_id", "file", "block", "line"]
+STORED = (
+    "file string, block bigint, line bigint, custom_id string, content string, "
+    "is_usable boolean, batch_id bigint"
+)
 
 
 def result_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -45,5 +49,8 @@ def ingest_results(lines: DataFrame, store: str, checkpoint: str) -> StreamingQu
 
 
 def ingested(spark: SparkSession, store: str) -> DataFrame:
-    """One row per custom id: its first usable line over all arrivals."""
-    return first_usable(spark.read.parquet(store), ORDER)
+    """One row per custom id: its first usable line over all arrivals; none before the first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return first_usable(spark.createDataFrame([], STORED), ORDER)
+    return first_usable(spark.read.schema(STORED).parquet(store), ORDER)

@@ -69,7 +69,7 @@ def test_chunk_table(spark):
         (1, 1, "aa"), (1, 2, "bbbbb"), (1, 3, "cc"), (2, 1, "x"),
     ]
     stats = {r.id: (r.n_chunks, r.total_chars, r.max_chars) for r in
-             chunk_stats(table, ["id"]).collect()}
+             chunk_stats(docs, ["id"], limit=8).collect()}
     assert stats == {1: (3, 9, 5), 2: (1, 1, 1)}
 
 

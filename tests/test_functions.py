@@ -3,6 +3,8 @@ import html
 import pytest
 from pyspark.sql import functions as F
 
+from corpusweave.operators import units
+
 from corpusweave.functions import numerals, payloads, ranges, refs, templates, text
 
 GOOD = {
@@ -43,6 +45,15 @@ def test_long_range_has_no_array_but_no_error(column):
     assert column([spec], ranges.spec_units) == [None]
 
 
+def test_huge_bounds_are_errors_of_their_row(spark, column):
+    huge = ["1-9223372036854775807,5", "1-9223372036854775808", f"{ranges.MAX_UNIT + 1}", "7"]
+    assert column(huge, ranges.spec_error) == ["number too large"] * 3 + [None]
+    specs = spark.createDataFrame([(s,) for s in huge], "spec string")
+    assert [r.unit for r in units.expand_ranges(specs).collect()] == [7]
+    last = f"{ranges.MAX_UNIT - 1}-{ranges.MAX_UNIT}"
+    assert column([last], ranges.spec_units) == [[ranges.MAX_UNIT - 1, ranges.MAX_UNIT]]
+
+
 def test_request_lists(spark):
     df = spark.createDataFrame([([94, 95], [93, 94, 96])], "t array<long>, c array<long>")
     t, c = F.col("t"), F.col("c")

@@ -74,6 +74,7 @@ def test_scan_artefact_files(spark, tmp_path):
         "Yoreh_Deah_Siman_94_gpt-5_2_draft.txt": "line 1\nline 2",
         "Yoreh_Deah_Siman_94_gpt-5_2_transcript.txt": "spoken",
         "Orach_Chayim_Siman_7_o1_draft_20240501_120000.txt": " ",
+        "Orach_Chayim_Siman_7_o1_draft.txt": " ",
         "Yoreh_Deah_Relations_94_95_o1.txt": "not a unit",
         "notes.txt": "x",
     }
@@ -85,6 +86,14 @@ def test_scan_artefact_files(spark, tmp_path):
         ("Yoreh_Deah", 94, "gpt-5_2", "transcript", "spoken"),
         ("Orach_Chayim", 7, "o1", "draft", " "),
     }
+    copies = {r.ts and r.ts.isoformat() for r in got if r.unit == 7}
+    assert copies == {None, "2024-05-01T12:00:00"}
+
+
+def test_no_arrivals_yet(spark, tmp_path):
+    from corpusweave.streaming.results import ingested
+
+    assert ingested(spark, str(tmp_path / "nothing")).count() == 0
 
 
 def test_names(spark):
@@ -264,11 +273,11 @@ def test_batch_request_lines(spark):
     body = json.loads(made["gpt-5.2"][94].request)["body"]
     assert body["temperature"] == 0.3 and body["messages"][0]["role"] == "system"
     assert "ש" in made["o1"][94].request
-    assert made["o1"][95].request is None and made["o1"][95].error
+    assert json.loads(made["o1"][95].request)["body"]["messages"][1]["content"] == "pq"
     path = scratch_path(spark, "requests")
     batch_files.write_requests(prompts.batch_requests(df, F.lit("o1"), F.lit("i"), F.lit(0.3)), path)
-    assert [json.loads(r.value)["custom_id"] for r in spark.read.text(path).collect()] == [
-        "siman_94_generation"
+    assert sorted(json.loads(r.value)["custom_id"] for r in spark.read.text(path).collect()) == [
+        "siman_94_generation", "siman_95_generation",
     ]
 
 
