@@ -7,15 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.common import written
 from corpusweave.llm.hashing import BASE
 
 GRAMS = (4, 5, 6)
 HASH_BITS = 30
 SIEVE_BITS = 20
-COUNT_BITS = 22
+# runs that a task holds before it counts them
+COUNT_RUNS = 4_000_000
 THRESHOLD = 0.7
 # the classifier is fitted on at most so many confirmed toxic and unlabelled texts
 MAX_POSITIVE = 1500
@@ -73,32 +76,66 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum(), -500, 500))))
 
 
-def choose_grams(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The runs whose share of texts differs most surely between the two samples."""
-    mask = (1 << COUNT_BITS) - 1
-
-    def surely(p: np.ndarray, u: np.ndarray) -> np.ndarray:
-        p, u = p / len(positive), u / len(unlabelled)
-        spread = np.sqrt((p + u) / 2 * (1 / len(positive) + 1 / len(unlabelled)) + 1e-9)
-        return np.abs(p - u) / spread
-
-    # first by fewer bits, in two tables of fixed size, then exactly what is left
-    tables = np.zeros((2, 1 << COUNT_BITS), np.int32)
-    for table, sets in zip(tables, (positive, unlabelled)):
-        for found in sets:
-            table[np.unique(found & mask)] += 1
-    maybe = surely(*tables) > 3
-    parts = [[s[maybe[s & mask]] for s in sets] for sets in (positive, unlabelled)]
-    values, at = np.unique(np.concatenate(parts[0] + parts[1]), return_inverse=True)
-    split = sum(map(len, parts[0]))
-    p = np.bincount(at[:split], minlength=len(values))
-    u = np.bincount(at[split:], minlength=len(values))
-    sure = surely(p, u)
-    p, u = p / len(positive), u / len(unlabelled)
-    lift = np.maximum(p, u) / np.maximum(np.minimum(p, u), 1 / (len(positive) + len(unlabelled)))
-    sure[lift < MIN_LIFT] = 0
-    best = np.argsort(-sure, kind="stable")[:MAX_FEATURES]
-    return np.sort(values[best[sure[best] > 3]])
+def count_grams(texts: DataFrame) -> DataFrame:
+    """``gram, p, u``: in how many of the positive and unlabelled ``texts(p, text)`` a run occurs.
+
+    Tasks count what they have read whenever it comes to a few million runs, so
+    what is shuffled are different runs, not occurrences.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        flags: list[int] = []
+
+        def counted() -> pa.RecordBatch:
+            grams, at = np.unique(np.concatenate(held), return_inverse=True)
+            positive = np.repeat(np.array(flags, np.int64), [len(h) for h in held])
+            p = np.bincount(at, weights=positive, minlength=len(grams)).astype(np.int64)
+            u = np.bincount(at, minlength=len(grams)) - p
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(p), pa.array(u)], ["gram", "p", "u"])
+
+        for batch in batches:
+            for flag, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(distinct_grams(text.as_py()))
+                flags.append(flag)
+                if sum(map(len, held)) > COUNT_RUNS:
+                    yield counted()
+                    held.clear()
+                    flags.clear()
+        if held:
+            yield counted()
+
+    counts = texts.select("p", "text").mapInArrow(tally, "gram int, p long, u long")
+    return counts.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def choose_grams(counts: DataFrame, positive: int, unlabelled: int) -> np.ndarray:
+    """The runs whose share of texts differs most surely between the two samples: at most
+    ``MAX_FEATURES`` of ``counts(gram, p, u)`` reach the driver."""
+    shares = counts.select("gram", (F.col("p") / positive).alias("p"), (F.col("u") / unlabelled).alias("u"))
+    spread = F.sqrt((F.col("p") + F.col("u")) / 2 * (1 / positive + 1 / unlabelled) + 1e-9)
+    least = F.greatest(F.least("p", "u"), F.lit(1 / (positive + unlabelled)))
+    sure = shares.where(F.greatest("p", "u") / least >= MIN_LIFT).select(
+        "gram", (F.abs(F.col("p") - F.col("u")) / spread).alias("sure")
+    )
+    best = sure.where("sure > 3").orderBy(F.desc("sure"), "gram").limit(MAX_FEATURES)
+    return np.sort(best.select("gram").toArrow().column("gram").to_numpy()).astype(np.int32)
+
+
+def feature_rows(texts: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``p, found``: the places in ``chosen`` of the runs that occur in each text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                np.flatnonzero(np.isin(chosen, distinct_grams(t.as_py()), assume_unique=True)).astype(np.int32)
+                for t in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["p", "found"]
+            )
+
+    return texts.select("p", "text").mapInArrow(find, "p int, found array<int>")
 
 
 def fit_nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -143,8 +180,8 @@ def train(
     """Fit on texts confirmed toxic in ``labels(doc_id, toxic)`` and on texts taken as unlabelled.
 
     Texts are chosen by a hash of their id, at most ``max_positive`` and
-    ``max_unlabelled`` of them: only their runs of bytes, as 30-bit numbers,
-    reach the driver.  The class prior is the toxic share of all labelled
+    ``max_unlabelled`` of them.  Their runs of bytes are counted in Spark; the
+    chosen runs and which text has which reach the driver.  The class prior is the toxic share of all labelled
     rows.  Without a toxic or an unlabelled text, every score is the prior
     (0 without labels).
     """
@@ -161,25 +198,21 @@ def train(
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     texts = texts.groupBy("doc_id", "p").agg(F.max("text").alias("text"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([distinct_grams(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["p", "grams"])
-
-    sample = texts.select("p", "text").mapInArrow(grams, "p int, grams array<int>").toArrow()
-    flags = sample.column("p").to_numpy()
-    sets = [g.values.to_numpy() for g in sample.column("grams")]
-    positive = [s for s, p in zip(sets, flags) if p == 1]
-    unlabelled = [s for s, p in zip(sets, flags) if p == 0]
-    none = np.zeros(0, np.int32)
-    if not positive or not unlabelled:
-        return Classifier(none, np.zeros(0), float(np.log(prior / (1 - prior))))
-    chosen_grams = choose_grams(positive, unlabelled)
-
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        return np.array([np.isin(chosen_grams, s, assume_unique=True) for s in sets], np.float32)
-
-    weights, bias = fit_nnpu(matrix(positive), matrix(unlabelled), prior)
+    texts = written(texts)
+    n = {r.p: r.n for r in texts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return Classifier(np.zeros(0, np.int32), np.zeros(0), float(np.log(prior / (1 - prior))))
+    chosen_grams = choose_grams(count_grams(texts), n[1], n[0])
+    sample = feature_rows(texts, chosen_grams).toArrow()
+
+    def matrix(kind: int) -> np.ndarray:
+        rows = sample.filter(pa.compute.equal(sample.column("p"), kind)).column("found")
+        x = np.zeros((len(rows), len(chosen_grams)))
+        for row, found in zip(x, rows):
+            row[found.values.to_numpy()] = 1
+        return x
+
+    weights, bias = fit_nnpu(matrix(1), matrix(0), prior)
     return Classifier(chosen_grams, weights, bias)
 
 
