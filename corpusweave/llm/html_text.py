@@ -51,6 +51,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+# parts that the pages of a host are dealt to when they meet its winner
+PARTS = 64
 
 
 @dataclass
@@ -259,6 +261,10 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     order = F.struct("n", (-F.length("path")).alias("short"), "path")
     winners = counts.groupBy("host").agg(F.max(order).alias("best")).select("host", "best.path")
     rows = pages.select(F.struct("*").alias("record"), F.col(source).alias("source"), host.alias("host"))
-    joined = rows.join(winners, "host", "left").select("record", "source", "path")
+    # a hot host's pages are dealt out: every part of a host meets a copy of its winner
+    part = F.pmod(F.xxhash64("host", "source", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    joined = rows.withColumn("part", part).join(winners.select("*", parts), ["host", "part"], "left")
+    joined = joined.select("record", "source", "path")
     record = joined.schema["record"].dataType.simpleString()
     return joined.mapInArrow(_extract, f"record {record}, main_text string")
