@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -229,11 +230,12 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(source: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page; ``source`` is the place of its html in the record."""
     for batch in batches:
         texts = []
-        for source, winner in zip(batch.column(1), batch.column(2).to_pylist()):
-            page = parse(source.as_py())
+        for html_, winner in zip(batch.column(0).field(source), batch.column(1).to_pylist()):
+            page = parse(html_.as_py())
             text = text_under(page, winner)
             texts.append(text or text_under(page, best_path(page)) or "")
         yield pa.RecordBatch.from_arrays(
@@ -260,11 +262,13 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     counts = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct("n", (-F.length("path")).alias("short"), "path")
     winners = counts.groupBy("host").agg(F.max(order).alias("best")).select("host", "best.path")
-    rows = pages.select(F.struct("*").alias("record"), F.col(source).alias("source"), host.alias("host"))
+    rows = pages.select(F.struct("*").alias("record"), host.alias("host"))
+    record = rows.schema["record"].dataType.simpleString()
     # a hot host's pages are dealt out: every part of a host meets a copy of its winner
-    part = F.pmod(F.xxhash64("host", "source", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    page = F.col("record")[source] if "map<" in record else F.col("record")
+    part = F.pmod(F.xxhash64(page), F.lit(PARTS)).cast("int")
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
     joined = rows.withColumn("part", part).join(winners.select("*", parts), ["host", "part"], "left")
-    joined = joined.select("record", "source", "path")
-    record = joined.schema["record"].dataType.simpleString()
-    return joined.mapInArrow(_extract, f"record {record}, main_text string")
+    # the page itself is shuffled once, inside its record
+    extract = partial(_extract, pages.columns.index(source))
+    return joined.select("record", "path").mapInArrow(extract, f"record {record}, main_text string")
