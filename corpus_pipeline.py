@@ -15,6 +15,8 @@ from corpusweave.llm.queries import table, vocabulary
 
 
 WORD = r"[^\x20\x09-\x0D]"
+# bytes from which a repeated passage goes; 51 words of running text have more
+PASSAGE = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand elsewhere too; a character that a cut splits goes."""
-    cut = repeats.without_repeats(docs)
+    """Texts without the passages of 200 bytes or more, as those of over 50 words have, that
+    stand elsewhere too; a character that a cut splits goes."""
+    cut = repeats.without_repeats(docs, length=PASSAGE)
     text = F.when(F.col("record.text").isNotNull(), F.col("kept"))
     rest = cut.select("record.*", text.alias("_kept"))
     return rest.withColumns({"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}).select(

@@ -3,10 +3,10 @@
 A rolling hash of 16 bytes picks triggers: places whose hash is the smallest
 within 40 bytes on either side.  Triggers depend on the bytes around them
 alone, so equal passages are parsed alike, and phrases from trigger to trigger
-take the place of single bytes.  The 400-byte strings that start in one phrase
-form a run.  Its dictionary entry is the whole stretch that they cover, its
-name in the parse the bytes after the next trigger that each of the strings
-contains (305, less for strings that start far before it).  Corpus order is only needed as far as strings agree in 400
+take the place of single bytes.  The 400-byte strings (the default;
+for other lengths all of this is in proportion) that start in one phrase form a
+run.  Its dictionary entry is the whole stretch that they cover, its name in
+the parse the bytes after the next trigger that each of the strings contains (305, less for strings that start far before it).  Corpus order is only needed as far as strings agree in 400
 bytes, so ranks are fingerprints (64 bits) and not places in a sorted array:
 
 * strings can be equal only under one name; a name that occurs once has none,
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,19 +48,26 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def triggers(sums: np.ndarray) -> np.ndarray:
-    """Places whose 16-byte hash is below the 40 before and not above the 40 after."""
+def _scales(length: int) -> tuple[int, int]:
+    """Radius and zone for strings of ``length`` bytes: those of 400 in proportion.  A zone is
+    at most what decides on a trigger, so that every name has a byte."""
+    radius = max(1, RADIUS * length // LENGTH)
+    return radius, max(1, min(ZONE * length // LENGTH, 2 * radius + GRAM))
+
+
+def triggers(sums: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Places whose 16-byte hash is below the ``radius`` before and not above those after."""
     n = len(sums) - GRAM
-    if n < 2 * RADIUS + 1:
+    if n < 2 * radius + 1:
         return np.zeros(0, np.int64)
     at = np.arange(n)
     h = hashing.spans(sums, at, at + GRAM) >> np.uint64(32)
     h = h.astype(np.uint32)
-    least = _least(h, RADIUS)
-    here = h[RADIUS : n - RADIUS]
+    least = _least(h, radius)
+    here = h[radius : n - radius]
     before = least[: len(here)]
-    after = least[RADIUS + 1 : RADIUS + 1 + len(here)]
-    return np.flatnonzero((here < before) & (here <= after)) + RADIUS
+    after = least[radius + 1 : radius + 1 + len(here)]
+    return np.flatnonzero((here < before) & (here <= after)) + radius
 
 
 def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -68,11 +76,12 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     if last_start < 0:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     sums = hashing.prefixes(data)
-    at = triggers(sums)
-    reach = length - RADIUS - GRAM  # a trigger counts with all bytes that decide on it
+    radius, zone_width = _scales(length)
+    at = triggers(sums, radius)
+    reach = length - radius - GRAM  # a trigger counts with all bytes that decide on it
     before = np.concatenate(([-(1 << 62)], at[:-1]))
-    first = np.maximum(np.maximum(before - RADIUS + 1, at - reach), 0)
-    last = np.minimum(at - RADIUS, last_start)
+    first = np.maximum(np.maximum(before - radius + 1, at - reach), 0)
+    last = np.minimum(at - radius, last_start)
     some = first <= last
     at, first, last = at[some], first[some], last[some]
     covered = np.zeros(last_start + 2, np.int8)
@@ -81,14 +90,14 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     bare = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
 
     # by how far a string starts before the trigger: the nearer, the longer what all share
-    low, high = (at - RADIUS - last) // ZONE, (at - RADIUS - first) // ZONE
+    low, high = (at - radius - last) // zone_width, (at - radius - first) // zone_width
     each = np.repeat(np.arange(len(at)), high - low + 1)
     zone = np.arange(len(each)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
     zone += low[each]
-    start = at[each] - RADIUS
-    first = np.maximum(first[each], start - ZONE * (zone + 1) + 1)
-    last = np.minimum(last[each], start - ZONE * zone)
-    name = hashing.spans(sums, start, start + length - ZONE * (zone + 1) + 1)
+    start = at[each] - radius
+    first = np.maximum(first[each], start - zone_width * (zone + 1) + 1)
+    last = np.minimum(last[each], start - zone_width * zone)
+    name = hashing.spans(sums, start, start + length - zone_width * (zone + 1) + 1)
     name = hashing.mix(name + zone.astype(np.uint64))
     entry = hashing.spans(sums, first, last + length)
     entry = hashing.mix(entry + hashing.mix(((start - first) << 32 | (last - first)).astype(np.uint64)))
@@ -125,17 +134,17 @@ def _signed(values: list[np.ndarray]) -> pa.Array:
     return pa.array(whole.view(np.int64), pa.int64())
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "name", "entry", "first", "last"]
     for batch in batches:
         docs = batch.column(0).to_numpy()
-        parts = [runs(_bytes(text)) for text in batch.column(1)]
+        parts = [runs(_bytes(text), length) for text in batch.column(1)]
         columns = list(zip(*parts)) if parts else [()] * 4
         owner = np.repeat(docs, [len(p[0]) for p in parts])
         yield pa.RecordBatch.from_arrays([pa.array(owner), *[_signed(list(c)) for c in columns]], names)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         owner, starts, copies, found = [], [], [], []
         for doc, text, entries in zip(*(batch.column(i) for i in range(3))):
@@ -145,7 +154,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner.append(np.full(len(at), doc.as_py()))
                 starts.append(at)
                 copies.append(np.full(len(at), e["copies"]))
-                found.append(hashing.spans(sums, at, at + LENGTH))
+                found.append(hashing.spans(sums, at, at + length))
         yield pa.RecordBatch.from_arrays(
             [_signed(c) for c in (owner, starts, copies, found)], ["doc", "start", "copies", "rank"]
         )
@@ -182,11 +191,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, spans`` (array of ``s, e``) of the bytes of ``texts(doc, text)`` that lie in a
-    400-byte string that also starts anywhere else; spans may overlap."""
+    string of ``length`` bytes that also starts anywhere else; spans may overlap."""
     # parsed twice, which is cheaper than keeping the parse of everything
-    parsed = texts.mapInArrow(_parse, "doc long, name long, entry long, first long, last long")
+    parsed = texts.mapInArrow(
+        partial(_parse, length), "doc long, name long, entry long, first long, last long"
+    )
     names = parsed.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.min("entry").alias("lo"), F.max("entry").alias("hi")
     )
@@ -206,31 +217,31 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     asked = single.agg(F.collect_list(F.struct("first", "last", "copies")).alias("entries"))
     suffixes = written(
         texts.join(asked, "doc").select("doc", "text", "entries").mapInArrow(
-            _suffixes, "doc long, start long, copies long, rank long"
+            partial(_suffixes, length), "doc long, start long, copies long, rank long"
         )
     )
     ranks = suffixes.groupBy("rank").agg(F.sum("copies").alias("n"))
     again = suffixes.where("copies = 1").join(ranks.where("n > 1").select("rank"), "rank")
-    span = F.struct(F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
+    span = F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     found = whole.select("doc", span.alias("span")).union(copied.select("doc", span.alias("span")))
-    found = found.union(again.select("doc", F.expr(f"struct(start as s, start + {LENGTH} as e)")))
+    found = found.union(again.select("doc", F.expr(f"struct(start as s, start + {length} as e)")))
     return found.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Remove each byte covered by a 400-byte string that also starts anywhere else.
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Texts are their UTF-8 bytes (a null text is empty); strings lie within one
     document, may overlap, and are judged on the input.  Returns a row for
     each row of ``docs``: ``record`` (a struct of all its columns), ``n_bytes``,
     ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` of the
-    remaining bytes and ``kept``, their text less characters that a cut splits.  Documents under 400 bytes stay whole, a
+    remaining bytes and ``kept``, their text less characters that a cut splits.  Documents under ``length`` bytes stay whole, a
     document of which there is a copy (a repeated row included) loses all.
     """
     keyed = docs.select(
         F.struct("*").alias("record"), F.xxhash64(F.struct("*")).alias("doc"), F.col(text).alias("text")
     )
-    spans = repeated_spans(keyed.select("doc", "text"))
+    spans = repeated_spans(keyed.select("doc", "text"), length)
     joined = keyed.join(spans, "doc", "left").select("record", "text", "spans")
     record = joined.schema["record"].dataType.simpleString()
     return joined.mapInArrow(

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from corpusweave.llm import near_duplicates, packing, pieces, repeats, sharding, toxicity
 from corpusweave.llm.queries import vocabulary
 from pyspark.sql import functions as F
@@ -66,6 +67,34 @@ def test_repeats(docs, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def passages():
+    """Texts that share passages of 51 to 65 words, most of them under 400 bytes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    own = lambda: " ".join(word() for _ in range(rng.randint(5, 90)))
+    shared = [" ".join(word() for _ in range(n)) for n in range(51, 66)]
+    texts = [f"{own()} {s} {own()}" for s in shared for _ in range(2)]
+    return shared, [*texts, own(), "ab " * 120, "", None]
+
+
+@pytest.mark.parametrize("length", [120, 200, 250, 500])
+def test_repeats_of_other_lengths(spark, length):
+    _, texts = passages()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    rows = repeats.without_repeats(df, length=length).collect()
+    got = {r.record.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert got == dict(enumerate(plain_repeats(texts, length)))
+
+
+def test_pipeline_drops_passages_of_over_50_words(spark):
+    shared, texts = passages()
+    assert min(map(len, shared)) < 400
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_chars long")
+    kept = [r.text or "" for r in corpus_pipeline.drop_repeats(spark, df, "").collect()]
+    assert not [s for s in shared if any(s in k for k in kept)]
+
+
 def sets(text, width):
     found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))) if found else None
