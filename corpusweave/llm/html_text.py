@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
-    "head script style noscript template svg math iframe object canvas audio video select textarea "
+    "head script style noscript template svg annotation annotation-xml iframe object canvas audio video select textarea "
     "button form nav header footer aside menu dialog title".split()
 )
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -36,7 +36,7 @@ CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-# words of class names and ids that mark what is not the article
+# words of class names and ids that mark what may not be the article
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
     "consent cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav "
@@ -44,12 +44,17 @@ BOILERPLATE = frozenset(
     "recommended related replies reply respond response share sharing sidebar sidebars signup skip "
     "social sponsor sponsored subscribe tags toc toolbar widget widgets".split()
 )
+# words of class names and ids that articles have
+CONTENT = frozenset("article body content entry main page post story text".split())
+# what the text inside marked elements counts: by a part of a name, by a whole name
+WEAK, STRONG = 0.25, 0.05
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+READ = frozenset("class id role hidden".split())
 NAME_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 # parts that the pages of a host are dealt to when they meet its winner
@@ -62,6 +67,7 @@ class Element:
     path: str
     skipped: bool
     container: Container | None
+    mark: Mark | None = None
 
 
 @dataclass
@@ -72,19 +78,32 @@ class Container:
     blocks: list[int] = field(default_factory=list)
 
 
+@dataclass
+class Mark:
+    """A marked element: what its text counts, the container and the mark around it."""
+
+    weight: float
+    outer: Container
+    up: Mark | None
+
+
 @dataclass
 class Page:
-    """Text blocks in page order, each with its nearest container."""
+    """Text blocks in page order, each with its line, nearest container and mark.  A line is
+    several blocks where marked elements begin or end inside it."""
 
     blocks: list[str] = field(default_factory=list)
     owners: list[Container] = field(default_factory=list)
+    marks: list[Mark | None] = field(default_factory=list)
+    lines: list[int] = field(default_factory=list)
     containers: list[Container] = field(default_factory=list)
 
 
 def _attributes(source: str) -> dict[str, str]:
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), html.unescape(a or b or c))
+        if name.lower() in READ:
+            found.setdefault(name.lower(), html.unescape(a or b or c))
     return found
 
 
@@ -94,13 +113,20 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n for n in names if n)])
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in SKIPPED or "hidden" in attributes or attributes.get("role", "").lower() in ROLES:
-        return True
+def _is_skipped(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in SKIPPED or "hidden" in attributes or attributes.get("role", "").lower() in ROLES
+
+
+def _weight(tag: str, attributes: dict[str, str]) -> float:
+    """What text counts inside an element, by its class names and id: a boilerplate word as a
+    whole name lowers it more than as a part of one (``has-sidebar``) or beside a content word."""
     if tag in ("body", "html", "article", "main"):
-        return False
-    marks = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(w in BOILERPLATE for w in NAME_WORD.findall(marks))
+        return 1.0
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    words = {w for name in names for w in NAME_WORD.findall(name)}
+    if not words & BOILERPLATE:
+        return 1.0
+    return STRONG if BOILERPLATE.intersection(names) and not words & CONTENT else WEAK
 
 
 def parse(source: str | None) -> Page:
@@ -108,7 +134,8 @@ def parse(source: str | None) -> Page:
 
     Open paragraphs, items and cells end as browsers end them, an end tag
     without a start is left out, what is never closed ends with the page.  Raw
-    elements end at their own end tag.  Comments and boilerplate give no text.
+    elements end at their own end tag.  Comments and skipped elements give no text,
+    marked ones do: what it counts is lowered, and the mark stays with the block.
     """
     text, page = source or "", Page()
     root = Container("", None)
@@ -117,14 +144,23 @@ def parse(source: str | None) -> Page:
     pieces: list[str] = []
     linked = [0, 0]  # characters in links, in all
 
-    def flush() -> None:
-        block = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        if block:
+    line = 0
+
+    def flush(ends: bool = True) -> None:
+        nonlocal line
+        block = SPACE.sub(" ", html.unescape("".join(pieces)))
+        size = len(block.strip())
+        if size or block and not ends:
             owner = next(e.container for e in reversed(stack) if e.container)
             owner.blocks.append(len(page.blocks))
-            owner.score += len(block) * (1 - linked[0] / max(linked[1], 1))
+            mark = stack[-1].mark
+            weight = mark.weight if mark else 1.0
+            owner.score += weight * size * (1 - linked[0] / max(linked[1], 1))
             page.blocks.append(block)
             page.owners.append(owner)
+            page.marks.append(mark)
+            page.lines.append(line)
+        line += ends
         pieces.clear()
         linked[:] = [0, 0]
 
@@ -139,6 +175,8 @@ def parse(source: str | None) -> Page:
     def close(depth: int) -> None:
         if any(e.tag in BLOCKS for e in stack[depth:]):
             flush()
+        elif stack[-1].mark is not stack[depth - 1].mark:
+            flush(ends=False)
         del stack[depth:]
 
     at = 0
@@ -173,16 +211,21 @@ def parse(source: str | None) -> Page:
             continue
         attributes = _attributes(token.group(3)) if token.group(3) else {}
         top = stack[-1]
-        skipped = top.skipped or _is_boilerplate(tag, attributes)
-        path, container = top.path, None
+        skipped = top.skipped or _is_skipped(tag, attributes)
+        path, container, mark = top.path, None, top.mark
+        weight = 1.0 if skipped or not attributes else _weight(tag, attributes)
+        if weight < 1:
+            flush(ends=tag in BLOCKS)
+            outer = next(e.container for e in reversed(stack) if e.container)
+            mark = Mark(min(weight, mark.weight) if mark else weight, outer, mark)
         if tag in BLOCKS:
-            path = f"{top.path}/{_step(tag, attributes)}"
+            path = f"{top.path}/{_step(tag, attributes)}{'' if weight == 1 else '?' if weight == WEAK else '!'}"
         if tag in CONTAINERS and not skipped:
             up = next(e.container for e in reversed(stack) if e.container)
             container = Container(path, up)
             page.containers.append(container)
         if not token.group(3).rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
-            stack.append(Element(tag, path, skipped, container))
+            stack.append(Element(tag, path, skipped, container, mark))
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
             at = end.start() if end else len(text)
@@ -212,7 +255,11 @@ def best_path(page: Page) -> str | None:
 
 
 def text_under(page: Page, path: str | None) -> str | None:
-    """The blocks inside containers of a path, joined by line ends; None if the page has no such."""
+    """The blocks inside containers of a path, joined by line ends; None if the page has no such.
+
+    Marked elements inside them are left out, unless all the text is in such, or half of it
+    or more in one that is marked weakly: that one is the article.  Marks at or around the
+    containers do not count."""
     inside = set()
     there = False
     for c in page.containers:  # outer ones come first
@@ -221,7 +268,26 @@ def text_under(page: Page, path: str | None) -> str | None:
             there = there or c.path == path
     if not there:
         return None
-    return "\n".join(b for b, o in zip(page.blocks, page.owners) if id(o) in inside)
+    blocks: list[tuple[int, str, list[Mark]]] = []
+    sizes: dict[int, int] = {}
+    for line, block, owner, mark in zip(page.lines, page.blocks, page.owners, page.marks):
+        if id(owner) in inside:
+            marks = []
+            while mark is not None and id(mark.outer) in inside:
+                marks.append(mark)
+                sizes[id(mark)] = sizes.get(id(mark), 0) + len(block.strip())
+                mark = mark.up
+            blocks.append((line, block, marks))
+    half = sum(len(b.strip()) for _, b, _ in blocks) / 2
+    kept = [x for x in blocks if all(m.weight == WEAK and sizes[id(m)] >= half for m in x[2])]
+    return _joined(kept) or _joined(blocks)
+
+
+def _joined(blocks: list[tuple[int, str, list[Mark]]]) -> str:
+    lines: dict[int, str] = {}
+    for line, block, _ in blocks:
+        lines[line] = lines.get(line, "") + block
+    return "\n".join(text for x in lines.values() if (text := SPACE.sub(" ", x).strip()))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,34 @@ def test_main_text(spark):
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+ARTICLE = "<h1>T</h1><p>" + "said in the article " * 20 + "</p>"
+
+
+def main_text_of(source):
+    page = html_text.parse(source)
+    return html_text.text_under(page, html_text.best_path(page)) or ""
+
+
+def test_loose_marks_do_not_remove_the_article():
+    want = "T\n" + ("said in the article " * 20).strip()
+    for wrapper in (
+        'div class="content has-sidebar"', 'div class="post share-enabled"', 'div id="page-header-fixed"',
+        'div style="overflow:hidden"', 'div data-link="/the-hidden-cost"', 'div aria-hidden="false"',
+        'div data-id="sidebar"', 'article title="a hidden one"', "div class=widget",
+    ):
+        tag = wrapper.split()[0]
+        source = f"<body><div class=ad>buy now</div><{wrapper}>{ARTICLE}<div class=comments>c</div></{tag}></body>"
+        assert main_text_of(source) == want, wrapper
+        assert main_text_of(f"<body>loose<div>{source}</div></body>").endswith(want), wrapper
+    assert main_text_of(f'<body style="overflow:hidden">{ARTICLE}</body>') == want
+    assert main_text_of(f"<body>{ARTICLE}<div hidden>h</div><div HIDDEN=''>h</div></body>") == want
+    # an id is no part of a path, but the mark is
+    assert main_text_of(f"<body><div>{ARTICLE}</div><div id=footer>f</div></body>") == want
+    assert main_text_of("<body><div class=ad>only this</div></body>") == "only this"
+    assert main_text_of("<p>one <a class=share>x</a> two <b>three</b></p>") == "one two three"
+    assert main_text_of("<body><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></body>") == "so x=1 holds"
+
+
 def vectors(spark):
     rng = np.random.default_rng(7)
     v = rng.standard_normal((400, 24)).astype("f4")
