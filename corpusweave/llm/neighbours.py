@@ -221,17 +221,27 @@ def nearest(
     def compare(ids: np.ndarray, part: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
         asks = more[0]
         queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        # rows of one id side by side: they count as one, at their smallest distance
+        others = others[np.argsort(ids[others], kind="stable")]
+        names, starts, owner = np.unique(ids[others], return_index=True, return_inverse=True)
         member, norms = part[others], (part[others] ** 2).sum(axis=1)
         out: list[list[np.ndarray]] = [[], [], []]
         for q in queries if len(others) else ():
             rough = norms - 2 * (member @ part[q])
-            rough[ids[others] == ids[q]] = np.inf
-            near = _top(rough, k)
-            near = near[ids[others[near]] != ids[q]]
-            exact = np.sqrt(((member[near] - part[q]) ** 2).sum(axis=1))
-            first = np.lexsort((ids[others[near]], exact))[: 2 * k]
+            least = np.minimum.reduceat(rough, starts)
+            least[names == ids[q]] = np.inf
+            near = _top(least, k)
+            near = near[names[near] != ids[q]]
+            if not len(near):
+                continue
+            chosen = np.zeros(len(names), bool)
+            chosen[near] = True
+            rows = np.flatnonzero(chosen[owner]) if len(names) < len(others) else near
+            exact = np.sqrt(((member[rows] - part[q]) ** 2).sum(axis=1))
+            exact = np.minimum.reduceat(exact, np.flatnonzero(np.diff(owner[rows], prepend=-1)))
+            first = np.lexsort((names[near], exact))[:k]
             out[0].append(np.full(len(first), ids[q]))
-            out[1].append(ids[others[near[first]]])
+            out[1].append(names[near[first]])
             out[2].append(exact[first])
         columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
         kinds = [pa.int64(), pa.int64(), pa.float64()]

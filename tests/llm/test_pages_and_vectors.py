@@ -135,6 +135,19 @@ def test_nearest(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_with_every_row_repeated(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((150, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    # each row three times, and once more with a vector far off: the smaller distance counts
+    rows = rows * 3 + [(i, (v[i] + 50).tolist()) for i in range(1, 150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0, leaf=1000).orderBy("rank").collect()
+    far = np.sqrt(((v - v[0]) ** 2).sum(axis=1))
+    assert [r.vec_id for r in got] == np.argsort(far)[1:11].tolist()
+    assert np.allclose([r.score for r in got], np.sort(far)[1:11])
+
+
 def test_queries_and_pipeline(spark):
     for n in range(1, 11):
         assert [k for k in LLM_QUERIES if k.startswith(f"op{n}_")], n
