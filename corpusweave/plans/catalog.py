@@ -108,9 +108,8 @@ def first_user_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    headline = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
     pages = table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"), text.clean_markup(headline).alias("text")
+        F.col("page_id").alias("id"), text.clean_markup(F.col("html")).alias("text")
     )
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return segments.fall_back(pages, docs, "id")
