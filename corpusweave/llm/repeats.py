@@ -12,7 +12,9 @@ bytes, so ranks are fingerprints (64 bits) and not places in a sorted array:
 * strings can be equal only under one name; a name that occurs once has none,
 * runs of one entry that occurs twice repeat as wholes,
 * where a name has several entries, the suffixes of each different entry are
-  put in order by their first 400 bytes, one entry standing for all its copies.
+  grouped by the fingerprint of their first 400 bytes, one entry standing for
+  all its copies.  This takes the place of suffix arrays of the dictionary and
+  of the parse: neither is built, as only equality in 400 bytes is asked.
 
 Strings without a trigger inside (monotonous text) are entries of their own;
 those that occur again in their own text are known to repeat at once.
