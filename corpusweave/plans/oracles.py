@@ -303,7 +303,7 @@ SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'use
 GROUP BY conv_id HAVING arg_min(text, turn) <> ''""",
     "source_fallback": f"""
 WITH p AS (
-  SELECT page_id, {_clean("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS t FROM pages)
+  SELECT page_id, {_clean('html')} AS t FROM pages)
 SELECT coalesce(page_id, doc_id) AS id,
   CASE WHEN coalesce(t, '') <> '' THEN 'primary' WHEN coalesce(text, '') <> '' THEN 'legacy'
     ELSE 'none' END AS origin,
