@@ -15,9 +15,12 @@ from corpusweave.llm import (
     pieces,
     repeats,
     sharding,
+    spelling,
+    topk,
     toxicity,
     urls,
     vector_links,
+    whitening,
 )
 
 TOKENIZERS = "/opt/tokenizers"
@@ -112,6 +115,18 @@ def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_exhaustive_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES = {
     name: query for name, query in vars(sys.modules[__name__]).items() if name.startswith("op")
 }

@@ -22,4 +22,24 @@ LEFT JOIN rules ON (j.host = h OR ends_with(j.host, '.' || h)) AND starts_with(j
 GROUP BY ALL
 """
 
-LLM_ORACLES = {"op6_url_filters": URL_FILTERS}
+TOP_K = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT)
+      AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), placed AS (
+  SELECT query_id, vec_id, score,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+LLM_ORACLES = {"op6_url_filters": URL_FILTERS, "op11_exhaustive_top_k": TOP_K}
