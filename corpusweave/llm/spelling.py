@@ -20,6 +20,9 @@ MIN_COUNT = 3
 LOSES = 97
 SYMBOLS = 16
 SLICE = 4096
+# bits of the filter that keeps keys no reduced word has out of the shuffle: 8 MB, whatever
+# the vocabulary; a larger one lets more keys pass
+FILTER_BITS = 1 << 26
 
 
 def runs(text: Column) -> Column:
@@ -83,6 +86,20 @@ def neighbourhood(symbols: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np
     return own, (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
+def _bits_of(held: DataFrame) -> np.ndarray:
+    """A bitmap of the keys of ``held(key)``: 2**20 words at most come to the driver."""
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    words = (
+        held.select(bit.alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    found = np.zeros(FILTER_BITS >> 6, np.uint64)
+    found[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return found
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """Ordered pairs ``word, n, other, other_n`` of words that one inserted, deleted or replaced
     code point tells apart.
@@ -90,36 +107,56 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     Letters are hashed to 16 symbols.  Each word asks for all reduced words that
     one edit makes of its own (its own among them, as a replacement may keep the
     symbol), joined with the reduced words of the vocabulary; what meets is
-    verified on the words themselves.
+    verified on the words themselves.  Keys that no reduced word has are
+    dropped in the task that makes them.
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch], asking: bool) -> Iterator[pa.RecordBatch]:
+    def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        listed = batch.column(0).to_pylist()
+        lengths = np.array([len(w) for w in listed])
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            step = max(1, SLICE * 8 // int(length))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                joined = "".join([listed[i] for i in part])
+                codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+                yield part, reduced(codes.reshape(len(part), length))
+
+    def rows(batch: pa.RecordBatch, at: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(key.view(np.int64)), *[c.take(pa.array(at)) for c in batch.columns]]
+        return pa.RecordBatch.from_arrays(columns, ["key", "word", "n"])
+
+    def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(0).to_pylist()
-            lengths = np.array([len(w) for w in listed])
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                step = max(1, SLICE * 8 // int(length))
-                for k in range(0, len(at), step):
-                    part = at[k : k + step]
-                    joined = "".join([listed[i] for i in part])
-                    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    own, near = neighbourhood(reduced(codes.reshape(len(part), length)))
-                    row, key = near if asking else (np.arange(len(part)), own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), *[c.take(pa.array(part[row])) for c in batch.columns]],
-                        ["key", "word", "n"],
-                    )
+            for part, symbols in by_length(batch):
+                yield rows(batch, part, neighbourhood(symbols)[0])
 
     given = vocabulary.select("word", "n")
-    asked = given.mapInArrow(lambda b: keyed(b, True), "key long, word string, n long")
-    held = given.mapInArrow(lambda b: keyed(b, False), "key long, word string, n long")
-    held = held.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = asked.join(held, "key").where("word <> other")
-    near = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
+    schema = "key long, word string, n long"
+    held = given.mapInArrow(own_keys, schema)
+    bits = vocabulary.sparkSession.sparkContext.broadcast(_bits_of(held.select("key")))
+
+    def asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, symbols in by_length(batch):
+                row, key = neighbourhood(symbols)[1]
+                bit = key % np.uint64(FILTER_BITS)
+                some = (bits.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                # a word asks for a key once
+                pairs = np.unique(np.rec.fromarrays([row[some], key[some]], names="row,key"))
+                yield rows(batch, part[pairs["row"]], np.ascontiguousarray(pairs["key"]))
+
+    asked = given.mapInArrow(asked_keys, schema)
+    met = asked.join(held.select("key", F.col("word").alias("other"), F.col("n").alias("other_n")), "key")
+    near = met.where("word <> other").where(F.levenshtein("word", "other", 1) == 1)
+    there = F.struct("word", "n", "other", "other_n")
+    back = F.struct(
+        F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")
+    )
     # a longer word asks for the shorter ones, not they for it
-    back = near.where(F.length("word") > F.length("other"))
-    return near.union(back.select("other", "other_n", "word", "n"))
+    longer = F.length("word") > F.length("other")
+    return near.select(F.inline(F.when(longer, F.array(there, back)).otherwise(F.array(there))))
 
 
 def roots(forms: DataFrame) -> DataFrame:
