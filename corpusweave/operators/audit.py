@@ -13,9 +13,15 @@ from corpusweave.dimensions import (
     WHOLE_DRAFT_AUTHORITIES,
     Corpus,
 )
+from corpusweave.functions.binding import let, settle
 from corpusweave.functions.numerals import MAX_NUMERAL, letters
 from corpusweave.operators.blocks import section_blocks
-from corpusweave.operators.links import match_authorities, orient_links, required_authorities
+from corpusweave.operators.links import (
+    authority_names,
+    match_authorities,
+    orient_links,
+    required_bits,
+)
 
 # --- fixed values: report wording -------------------------------------------
 
@@ -50,66 +56,55 @@ FETCHED = "Fetch complete.\n"
 
 TOO_MANY_SECTIONS = f"Error: more than {MAX_NUMERAL} sections."
 
-# Row of a unit that stands for the whole draft and for the links as such.
-WHOLE = 0
+UNKNOWN_CORPUS = "Error: the corpus of this draft is not known."
+
 
+def _counts(text: Column, patterns: list[str | None]) -> Column:
+    """Non-overlapping, case-insensitive mentions, one number per pattern."""
+    return F.array(
+        *[F.lit(0) if p is None else F.regexp_count(text, F.lit(f"(?iu){p}")) for p in patterns]
+    )
 
-def mention_counts(
-    text: Column, corpus: Column, corpora: tuple[Corpus, ...], whole: bool = False
-) -> Column:
-    """``MAP<authority, count>`` of non-overlapping, case-insensitive mentions.
 
-    Counted are the authorities that a section can require or, for a whole
-    draft, those that are looked for in it as a whole.  The patterns are
-    literals of the plan: each is compiled once per task.
-    """
-    by_corpus = None
+def _of_corpus(corpus: Column, corpora: tuple[Corpus, ...], value) -> Column:
+    """``value(corpus)`` of the corpus at hand; null for an unknown one."""
+    found = F.lit(None)
     for c in corpora:
-        in_sections = (ALWAYS_REQUIRED, GLOSS_AUTHORITY, *(a.name for a in c.linked))
-        names = WHOLE_DRAFT_AUTHORITIES if whole else in_sections
-        counts = F.create_map(
-            *[
-                cell
-                for name in names
-                for cell in (
-                    F.lit(name),
-                    F.regexp_count(text, F.lit(f"(?iu){c.patterns[name]}")),
-                )
-            ]
-        )
-        hit = corpus == c.key
-        by_corpus = F.when(hit, counts) if by_corpus is None else by_corpus.when(hit, counts)
-    return by_corpus
+        found = F.when(corpus == c.key, value(c)).otherwise(found)
+    return found
 
 
-def _draft_cells(drafts: DataFrame, corpora: tuple[Corpus, ...]) -> DataFrame:
-    """Mentions per section block and, as section 0, of the whole draft.
+def _draft_rows(drafts: DataFrame, corpora: tuple[Corpus, ...], names: tuple[str, ...]) -> DataFrame:
+    """Drafts with the mentions of each section block (``cells``) and of the whole text.
 
-    Everything about the text is worked out next to the scan; only the counts
-    leave the task.
+    Everything about the text is worked out next to the scan; the text itself
+    does not leave the task.  The patterns are literals of the plan: each is
+    compiled once per task.
     """
-    whole = F.struct(F.lit(WHOLE).alias("section"), F.lit(0).alias("pos"), F.col("text"))
-    texts = drafts.select("corpus", "unit", F.coalesce("text", F.lit("")).alias("text"))
-    cells = texts.select(
-        "corpus", "unit", "text", section_blocks(F.col("text")).alias("blocks")
-    ).select("corpus", "unit", F.inline(F.array_prepend("blocks", whole)))
-    text, corpus = F.col("text"), F.col("corpus")
-    return cells.select(
-        "corpus",
-        "unit",
-        "section",
-        F.when(
-            F.col("section") == WHOLE,
-            mention_counts(text, corpus, corpora, whole=True),
+    others = [c for c in drafts.columns if c != "text"]
+    texts = drafts.select(*others, F.coalesce("text", F.lit("")).alias("text"))
+    blocks = settle(texts, blocks=section_blocks(F.col("text")))
+
+    def cells(c: Corpus) -> Column:
+        in_sections = {ALWAYS_REQUIRED, GLOSS_AUTHORITY, *(a.name for a in c.linked)}
+        patterns = [c.patterns[n] if n in in_sections else None for n in names]
+        return F.transform(
+            "blocks",
+            lambda b: F.struct(
+                b.section.cast("int").alias("section"),
+                (b.text == "").alias("is_empty"),
+                _counts(b.text, patterns).alias("counts"),
+            ),
         )
-        .otherwise(mention_counts(text, corpus, corpora))
-        .alias("mentions"),
-        (text == "").alias("is_empty"),
-    )
 
+    def whole(c: Corpus) -> Column:
+        return _counts(F.col("text"), [c.patterns[n] for n in WHOLE_DRAFT_AUTHORITIES])
 
-def _mentions_of(authority: Column) -> Column:
-    return F.coalesce(F.try_element_at("mentions", authority), F.lit(0))
+    return blocks.select(
+        *others,
+        _of_corpus(F.col("corpus"), corpora, cells).alias("cells"),
+        _of_corpus(F.col("corpus"), corpora, whole).alias("whole"),
+    )
 
 
 def _status(count: Column, warning: str) -> Column:
@@ -127,95 +122,108 @@ def audit_drafts(
 ) -> DataFrame:
     """Audit every draft in one job.
 
-    In: ``drafts(corpus, unit, text)``, one per unit; ``base(corpus, unit,
-    section, text)``, the numbered base text; ``links(corpus, unit, ref,
-    anchor_ref)``.  Out, per draft: ``success``, ``local_flags``,
+    In: ``drafts(corpus, unit, text, …)``, any number per unit; ``base(corpus,
+    unit, section, text)``, the numbered base text; ``links(corpus, unit, ref,
+    anchor_ref)``.  Out, per draft: its columns other than the text (``corpus``,
+    ``unit``, what tells drafts of a unit apart), ``success``, ``local_flags``,
     ``general_flags``, ``missing`` (ordered section numbers), ``report``.
 
     A section without a block is one flag, whoever it requires; otherwise each
     required authority that the block never mentions is one.  Authorities of
-    the whole draft are looked for in the whole draft.  A draft whose unit has
-    no base text, or more sections than numerals reach, is not a success and
-    says so in its report.
+    the whole draft are looked for in the whole draft.  A draft whose corpus is
+    not known, whose unit has no base text, or more sections than numerals
+    reach, is not a success and says so in its report.
 
-    Drafts and base texts are never shuffled: the section join and the two
-    aggregates move counts and short arrays.  Per-unit lists hold at most 999
-    sections.
+    Drafts and base texts are never shuffled.  What a unit requires becomes one
+    row of at most 999 sections and their bitmaps; each draft joins that row
+    and is judged inside its own.
     """
+    names = authority_names(corpora)
     matched = match_authorities(orient_links(links), authorities)
-    required = required_authorities(base, matched, gloss_marker)
-    # raw links are only counted; they ride in the section-0 cell
-    link_counts = links.groupBy("corpus", "unit").agg(F.count("*").alias("n_links"))
-    cells = _draft_cells(drafts, corpora)
-
-    sections = (
-        required.join(cells, ["corpus", "unit", "section"], "full_outer")
-        .withColumn("is_base", F.col("required").isNotNull())
-        .withColumn(
-            "no_block", F.col("is_base") & F.coalesce(F.col("is_empty"), F.lit(True))
-        )
-        .withColumn(
-            "checks",
-            F.transform(
-                F.when(~F.col("no_block"), F.col("required")),
-                lambda a: F.struct(a.alias("authority"), _mentions_of(a).alias("count")),
+    required = required_bits(base, matched, names, gloss_marker)
+    listed = F.when(F.col("section") <= MAX_NUMERAL, F.struct("section", "bits"))
+    per_unit = required.groupBy("corpus", "unit").agg(
+        F.count(F.lit(1)).alias("n_sections"), F.sort_array(F.collect_list(listed)).alias("required")
+    )
+    link_counts = links.groupBy("corpus", "unit").agg(F.count(F.lit(1)).alias("n_links"))
+    others = [c for c in drafts.columns if c != "text"]
+    joined = (
+        _draft_rows(drafts, corpora, names)
+        .join(per_unit, ["corpus", "unit"], "left")
+        .join(link_counts, ["corpus", "unit"], "left")
+    )
+
+    def judged(r):
+        cell = F.get(F.filter("cells", lambda c: c.section == r.section), F.lit(0))
+        return let(
+            cell,
+            lambda c: F.struct(
+                r.section.cast("int").alias("section"),
+                F.coalesce(c.is_empty, F.lit(True)).alias("no_block"),
+                F.array_compact(
+                    F.array(
+                        *[
+                            F.when(
+                                F.getbit(r.bits, F.lit(i)) == 1,
+                                F.struct(
+                                    F.lit(name).alias("authority"),
+                                    F.coalesce(F.get(c.counts, F.lit(i)), F.lit(0)).alias("count"),
+                                ),
+                            )
+                            for i, name in enumerate(names)
+                        ]
+                    )
+                ).alias("checks"),
             ),
         )
-        .withColumn(
-            "flags",
-            F.when(F.col("no_block"), 1)
-            .when(F.col("is_base"), F.size(F.filter("checks", lambda c: c["count"] == 0)))
-            .otherwise(0),
-        )
-    )
 
-    title = F.format_string(SECTION_TITLE, letters(F.col("section")), F.col("section"))
-    active = F.format_string(
-        ACTIVE.format(source=source_name), F.array_join("required", ", ")
-    )
-    mentions = F.transform(
-        "checks",
-        lambda c: F.format_string(
-            MENTION, c["authority"], c["count"], _status(c["count"], WARN)
-        ),
-    )
-    lines = F.when(F.col("no_block"), F.concat_ws("\n", title, F.lit(NO_BLOCK))).otherwise(
-        F.concat_ws("\n", title, active, mentions)
-    )
-    listed = F.col("is_base") & (F.col("section") <= MAX_NUMERAL)
-    whole = F.col("section") == WHOLE
-
-    per_unit = (
-        sections.withColumn("lines", F.when(listed, lines))
-        .groupBy("corpus", "unit")
-        .agg(
-            F.max(whole & F.col("mentions").isNotNull()).alias("has_draft"),
-            F.count(F.when(F.col("is_base"), 1)).alias("n_sections"),
-            F.coalesce(F.sum("flags"), F.lit(0)).alias("local"),
-            F.sort_array(
-                F.collect_list(F.when(F.col("no_block") & listed, F.col("section")))
-            ).alias("missing"),
-            F.expr("listagg(lines, '\n') WITHIN GROUP (ORDER BY section)").alias("body"),
-            *[
-                F.max(F.when(whole, _mentions_of(F.lit(a)))).alias(f"whole_{i}")
-                for i, a in enumerate(WHOLE_DRAFT_AUTHORITIES)
-            ],
+    sections = settle(joined, sections=F.transform("required", judged))
+
+    def flags(s):
+        unmentioned = F.size(F.filter(s.checks, lambda c: c["count"] == 0))
+        return F.when(s.no_block, 1).otherwise(unmentioned)
+
+    def lines(s):
+        title = F.format_string(SECTION_TITLE, letters(s.section), s.section)
+        active = F.format_string(
+            ACTIVE.format(source=source_name),
+            F.array_join(F.transform(s.checks, lambda c: c.authority), ", "),
         )
-        .where("has_draft")
-        .join(link_counts, ["corpus", "unit"], "left")
+        mentions = F.transform(
+            s.checks,
+            lambda c: F.format_string(MENTION, c.authority, c["count"], _status(c["count"], WARN)),
+        )
+        said = F.concat_ws("\n", title, active, F.array_join(mentions, "\n"))
+        return F.when(s.no_block, F.concat_ws("\n", title, F.lit(NO_BLOCK))).otherwise(said)
+
+    counted = sections.select(
+        *others,
+        F.coalesce("n_sections", F.lit(0)).alias("n_sections"),
+        "n_links",
+        F.aggregate(
+            F.coalesce(F.transform("sections", flags), F.array().cast("array<int>")),
+            F.lit(0).cast("bigint"),
+            lambda total, n: total + n,
+        ).alias("local"),
+        F.transform(F.filter("sections", lambda s: s.no_block), lambda s: s.section).alias("missing"),
+        F.array_join(F.transform("sections", lines), "\n").alias("body"),
+        *[F.get("whole", F.lit(i)).alias(f"whole_{i}") for i in range(len(WHOLE_DRAFT_AUTHORITIES))],
+        F.col("whole").isNull().alias("is_unknown"),
     )
-    return _conclude(per_unit, source_name)
+    return _conclude(counted, others, source_name)
 
 
-def _conclude(per_unit: DataFrame, source_name: str) -> DataFrame:
+def _conclude(per_draft: DataFrame, others: list[str], source_name: str) -> DataFrame:
     whole_counts = [F.col(f"whole_{i}") for i in range(len(WHOLE_DRAFT_AUTHORITIES))]
     general = sum(
         (F.when(c > 0, 0).otherwise(1) for c in whole_counts), start=F.lit(0)
     )
-    error = F.when(F.col("n_sections") == 0, NO_BASE_TEXT.format(source=source_name)).when(
-        F.col("n_sections") > MAX_NUMERAL, TOO_MANY_SECTIONS
+    error = (
+        F.when(F.col("is_unknown"), UNKNOWN_CORPUS)
+        .when(F.col("n_sections") == 0, NO_BASE_TEXT.format(source=source_name))
+        .when(F.col("n_sections") > MAX_NUMERAL, TOO_MANY_SECTIONS)
     )
-    flagged = per_unit.select(
+    flagged = per_draft.select(
         "*",
         error.alias("error"),
         general.alias("general"),
@@ -257,8 +265,7 @@ def _conclude(per_unit: DataFrame, source_name: str) -> DataFrame:
         F.lit(LINE),
     )
     return flagged.select(
-        "corpus",
-        "unit",
+        *others,
         success.alias("success"),
         F.when(ok, F.col("local")).otherwise(0).cast("bigint").alias("local_flags"),
         F.when(ok, F.col("general")).otherwise(0).cast("bigint").alias("general_flags"),

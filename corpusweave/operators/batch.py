@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.binding import settle
@@ -19,22 +19,53 @@ RUNNING = ("validating", "in_progress")
 # --- end of fixed values ----------------------------------------------------
 
 
+# Why a line gives no content.
+BROKEN, NO_ID, NO_CONTENT = "broken line", "no custom id", "no content"
+
+
 def parse_results(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``custom_id``, ``content`` and ``is_usable`` to result lines.
+    """Add ``custom_id``, ``content``, ``is_usable`` and ``error`` to result lines.
 
-    Blank lines are dropped.  A line that is broken or carries no choice stays,
-    with a null content.
+    Blank lines are dropped.  Every other line stays: one that can't be read, has
+    no custom id or carries no choice says so in ``error`` and has a null content.
     """
     others = [c for c in lines.columns if c != value]
     choices = F.col("_result.response.body.choices")
     parsed = settle(
-        lines.where(F.trim(value) != ""), _result=F.from_json(value, RESULT)
+        lines.where(F.trim(value) != ""),
+        _result=F.from_json(
+            value,
+            f"struct<{RESULT[7:-1]}, _broken: string>",
+            {"columnNameOfCorruptRecord": "_broken"},
+        ),
     )
+    broken = F.col("_result").isNull() | F.col("_result._broken").isNotNull()
+    named = F.coalesce("_result.custom_id", F.lit("")) != ""
+    good = ~broken & named & choices.isNotNull()
+    error = F.when(broken, BROKEN).when(~named, NO_ID).when(choices.isNull(), NO_CONTENT)
     return parsed.select(
         *others,
-        F.col("_result.custom_id").alias("custom_id"),
-        F.get(choices, F.lit(0)).getField("message").getField("content").alias("content"),
-        choices.isNotNull().alias("is_usable"),
+        F.when(~broken & named, F.col("_result.custom_id")).alias("custom_id"),
+        F.when(good, F.get(choices, F.lit(0)).getField("message").getField("content")).alias("content"),
+        good.alias("is_usable"),
+        error.alias("error"),
+        F.when(error.isNotNull(), F.col(value)).alias("line_text"),
+    )
+
+
+def result_errors(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """The lines of :func:`parse_results` that give no content: ``(keep…, custom_id, error, line_text)``."""
+    return parsed.where(F.col("error").isNotNull()).select(*keep, "custom_id", "error", "line_text")
+
+
+def observed(parsed: DataFrame, observation: Observation) -> DataFrame:
+    """``parsed`` with its lines counted, all and by error, by the job that consumes it."""
+    counts = [
+        F.count_if(F.col("error") == error).alias(name)
+        for name, error in (("broken", BROKEN), ("no_id", NO_ID), ("no_content", NO_CONTENT))
+    ]
+    return parsed.observe(
+        observation, F.count(F.lit(1)).alias("lines"), F.count_if("is_usable").alias("usable"), *counts
     )
 
 
@@ -43,13 +74,16 @@ def first_usable(
 ) -> DataFrame:
     """Content of the first usable line per key, in ``order``.
 
-    The minimum is taken map-side; a key with very many lines is no hot spot.
+    Every task keeps only its own first line of a key before they meet, so a
+    key with very many lines is no hot spot.
     """
+    place = Window.partitionBy(*keys).orderBy(*order)
     return (
         parsed.where("is_usable")
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct("content"), F.struct(*order)).alias("_first"))
-        .select(*keys, "_first.content")
+        .select(*keys, *order, "content")
+        .withColumn("_place", F.row_number().over(place))
+        .where("_place = 1")
+        .select(*keys, "content")
     )
 
 

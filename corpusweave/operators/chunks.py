@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.binding import settle
 from corpusweave.functions.chunking import CHUNK_LIMIT, chunks
+from corpusweave.operators.segments import joined_parts
 
-# Chunks per part of a re-assembled artefact.
-PART = 4096
+# Bytes per part of a re-assembled artefact.
+PART_BYTES = 64 << 20
 
 
 def chunk_texts(
@@ -37,23 +38,12 @@ def chunk_stats(
 
 
 def reassemble(
-    payloads: DataFrame, keys: list[str], payload: str = "payload", part: int = PART
+    payloads: DataFrame, keys: list[str], payload: str = "payload", part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """Payloads appended in chunk order: ``(keys…, part_no, payload)``.
+    """Payloads appended in chunk order: ``(keys…, part_no, n_parts, payload)``.
 
-    Text or binary.  ``chunk_no`` starts at 1; an artefact of more than
-    ``part`` chunks comes as several parts, in order, so that a group is
-    bounded whatever the size of an artefact.
+    Text or binary.  ``chunk_no`` starts at 1 and is unique in an artefact; one of
+    more than ``part_bytes`` bytes comes as several parts, in order, so that a
+    group is bounded whatever the size of an artefact.
     """
-    binary = dict(payloads.dtypes)[payload] == "binary"
-    joined = F.expr(
-        f"listagg({payload}{'' if binary else ', ' + chr(39) * 2}) "
-        "WITHIN GROUP (ORDER BY chunk_no)"
-    )
-    return (
-        payloads.withColumn(
-            "part_no", (F.floor((F.col("chunk_no") - 1) / part) + 1).cast("int")
-        )
-        .groupBy(*keys, "part_no")
-        .agg(joined.alias(payload))
-    )
+    return joined_parts(payloads, keys, "chunk_no", payload, part_bytes)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.templates import fill
-from corpusweave.operators.segments import BLOCK
+from corpusweave.operators.segments import byte_parts, number_rows
 
 # --- fixed values: document format ------------------------------------------
 
@@ -18,114 +18,75 @@ ENTRY = "[{number}] {text}\n\n"
 # --- end of fixed values ----------------------------------------------------
 
 
+# Bytes of source text per part of a context document.
+PART_BYTES = 1 << 20
+
+
 def assemble_context(
     units: DataFrame,
     works: DataFrame,
     segments: DataFrame,
     position: str = "position",
-    block: int = BLOCK,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Context documents as ``(corpus, unit, part_no, n_parts, text)``.
+    """Context documents as ``(corpus, unit, is_target, part_no, n_parts, text)``.
 
     ``units(corpus, unit, is_target)``, ``works(corpus, work, work_ord,
-    is_core)``, ``segments(corpus, unit, work, <position>, text)`` with an
-    integer position, unique in (corpus, unit, work).  Empty segments are
-    dropped before numbering; a context-only unit takes its core works only.
+    is_core)``, ``segments(corpus, unit, work, <position>, text)`` with a
+    position of any orderable type, unique in (corpus, unit, work).  Empty
+    segments are dropped before numbering; a context-only unit takes its core
+    works only.  A unit without any entry is its header alone.
 
-    A unit whose positions stay below ``block`` is one part.  A longer unit
-    comes as several, each of at most ``block`` positions of one work, and the
-    document is its parts in order: no task ever holds a whole hot unit.
-
-    The text is shuffled once, by (corpus, unit, block).  Numbers, part
-    numbers and the choice of works are worked out on block counts and join
-    the text on the very keys it is partitioned by.
+    A document comes in parts of about ``part_bytes`` bytes of source text, each
+    entry whole in one of them; the document is its parts in order.  Which
+    segments belong to a document, their numbers, places and parts are worked
+    out on keys and sizes.  The texts join them once they are known.
     """
-    cell = ["corpus", "unit", "_block"]
-    rows = (
-        segments.where(F.col("text") != "")
-        .withColumn("_block", F.floor(F.col(position) / block))
-        .join(works.select("corpus", "work", "work_ord"), ["corpus", "work"])
-    )
-    counts = rows.groupBy("corpus", "unit", "_block", "work", "work_ord").agg(
-        F.count("*").alias("n")
-    )
-    core = works.where("is_core").select("corpus", "work", F.lit(True).alias("is_core"))
-    unit = Window.partitionBy("corpus", "unit")
-    in_order = unit.orderBy("work_ord", "_block")
-    earlier = Window.partitionBy("corpus", "unit", "work_ord").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    layout = (
-        units.select("corpus", "unit", "is_target")
-        .join(
-            counts.join(core, ["corpus", "work"], "left"), ["corpus", "unit"], "left"
-        )
-        # of a context-only unit the other works are blanked, not dropped:
-        # the unit itself stays and gets its header
-        .withColumn("_taken", F.coalesce(F.col("is_target") | F.col("is_core"), F.lit(False)))
-        .withColumn("work_ord", F.when(F.col("_taken"), F.col("work_ord")))
-        .withColumn("_block", F.coalesce(F.when(F.col("_taken"), F.col("_block")), F.lit(0)))
-        .groupBy("corpus", "unit", "work_ord", "_block")
-        .agg(F.first(F.when(F.col("_taken"), F.col("work"))).alias("work"), F.sum(F.when(F.col("_taken"), F.col("n"))).alias("n"))
-        .withColumn("_any", F.count("work_ord").over(unit))
-        .where((F.col("_any") == 0) | F.col("work_ord").isNotNull())
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .withColumn("_single", F.min("_block").over(unit) == F.max("_block").over(unit))
-        .withColumn(
-            "part_no", F.when(F.col("_single"), F.lit(1)).otherwise(F.row_number().over(in_order))
-        )
-        .withColumn("n_parts", F.when(F.col("_single"), F.lit(1)).otherwise(F.count("*").over(unit)))
-        .groupBy(*cell)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("work_ord", "work", "before", "part_no"))
-            ).alias("layout"),
-            F.first("_single").alias("single"),
-            F.first("n_parts").alias("n_parts"),
-        )
+    unit_no = F.col("unit").cast("string")
+    keyed = segments.where(F.col("text") != "").select(
+        "corpus", "unit", "work", position, F.octet_length("text").cast("bigint").alias("_size")
     )
-    texts = rows.groupBy(*cell).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("work_ord", F.col(position).alias("position"), "text")
-            )
-        ).alias("lines")
+    taken = (
+        keyed.join(works.select("corpus", "work", "work_ord", "is_core"), ["corpus", "work"])
+        .join(units.select("corpus", "unit", "is_target"), ["corpus", "unit"])
+        .where(F.col("is_target") | F.col("is_core"))
+        .drop("is_core", "is_target")
     )
-    unit_no = F.col("unit").cast("string")
-    header = fill(UNIT_HEADER, unit=unit_no)
-
-    def body(m):
-        mine = F.filter(F.col("lines"), lambda r: r.work_ord == m.work_ord)
-        entries = F.transform(
-            mine,
-            lambda r, i: fill(
-                ENTRY, number=(m.before + i + 1).cast("string"), text=r.text
-            ),
-        )
-        title = F.when(m.before == 0, fill(WORK_HEADER, work=m.work, unit=unit_no)).otherwise("")
-        # null for the layout entry of a unit that takes no work at all
-        return F.coalesce(F.concat(title, F.array_join(entries, "")), F.lit(""))
-
-    one = F.array(
-        F.struct(
-            F.lit(1).alias("part_no"),
-            F.concat(header, F.array_join(F.transform("layout", body), "")).alias("text"),
+    unit = ["corpus", "unit"]
+    # along the whole unit, then within its works: a unit has few of them
+    ranked = number_rows(taken, unit, ["work_ord", position], "rank", size="_size", before="_before")
+    starts = ranked.groupBy(*unit, "work").agg(F.min("rank").alias("first"))
+    dealt = byte_parts(
+        ranked.join(starts, [*unit, "work"]).withColumn("seg_no", F.col("rank") - F.col("first") + 1),
+        unit,
+        "_before",
+        part_bytes,
+    ).select(*unit, "work", position, "seg_no", "rank", "part_no", "n_parts")
+    title = fill(WORK_HEADER, work=F.col("work"), unit=unit_no)
+    entry = fill(ENTRY, number=F.col("seg_no").cast("string"), text=F.col("text"))
+    bodies = (
+        dealt.join(segments.select(*unit, "work", position, "text"), [*unit, "work", position])
+        .where(F.col("text") != "")
+        .select(
+            *unit,
+            "part_no",
+            "n_parts",
+            "rank",
+            F.concat(F.when(F.col("seg_no") == 1, title).otherwise(""), entry).alias("piece"),
         )
+        .groupBy(*unit, "part_no", "n_parts")
+        .agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY rank)").alias("body"))
     )
-    many = F.transform(
-        "layout",
-        lambda m: F.struct(
-            m.part_no.alias("part_no"),
-            F.concat(F.when(m.part_no == 1, header).otherwise(""), body(m)).alias("text"),
-        ),
-    )
+    part_no = F.coalesce("part_no", F.lit(1))
+    header = F.when(part_no == 1, fill(UNIT_HEADER, unit=unit_no)).otherwise("")
     return (
-        layout.join(texts, cell, "left")
+        units.select(*unit, "is_target")
+        .join(bodies, unit, "left")
         .select(
-            "corpus",
-            "unit",
-            F.col("n_parts").cast("int").alias("n_parts"),
-            F.inline(F.when(F.col("single"), one).otherwise(many)),
+            *unit,
+            "is_target",
+            part_no.alias("part_no"),
+            F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
+            F.concat(header, F.coalesce("body", F.lit(""))).alias("text"),
         )
-        .select("corpus", "unit", "part_no", "n_parts", "text")
     )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.dimensions import (
     ALWAYS_REQUIRED,
     BASE_WORK,
+    CORPORA,
     GLOSS_AUTHORITY,
     GLOSS_MARKER,
+    Corpus,
 )
 from corpusweave.functions.binding import settle
 from corpusweave.functions.refs import base_section
@@ -56,41 +58,64 @@ def match_authorities(oriented: DataFrame, authorities: DataFrame) -> DataFrame:
     ).select("l.*", "a.authority")
 
 
-def required_authorities(
+def authority_names(corpora: tuple[Corpus, ...] = CORPORA) -> tuple[str, ...]:
+    """All authorities a section can require, in order: the place of a name is its bit."""
+    linked = {a.name for c in corpora for a in c.linked}
+    return tuple(sorted({ALWAYS_REQUIRED, GLOSS_AUTHORITY, *linked}))
+
+
+def authorities_of(bits: Column, names: tuple[str, ...]) -> Column:
+    """Names of the set bits, in order."""
+    named = [F.when(F.getbit(bits, F.lit(i)) == 1, name) for i, name in enumerate(names)]
+    return F.array_compact(F.array(*named))
+
+
+def required_bits(
     base: DataFrame,
     matched: DataFrame,
+    names: tuple[str, ...],
     gloss_marker: str = GLOSS_MARKER,
 ) -> DataFrame:
-    """``(corpus, unit, section, required)`` with a sorted array of authorities.
+    """``(corpus, unit, section, bits)``: what each section of the base text requires, as a bitmap.
 
-    ``base(corpus, unit, section, text)`` are the sections of the base text.
-    Required are the linked authorities, one in every section, and one where
-    the gloss marker occurs.  A link to a section the base text lacks falls
-    out because nothing marks that section as existing: the range check needs
-    no join.
+    ``base(corpus, unit, section, text)`` has one row per section.  Required are
+    the linked authorities, one in every section, and one where the gloss
+    marker occurs.  Links alone are aggregated, by ``bit_or`` on their own side
+    first; base sections join their bitmap.  A link to a section the base text
+    lacks finds nothing to join.
     """
-    sections = base.select(
-        "corpus",
-        "unit",
-        "section",
-        F.explode(
-            F.when(
-                F.contains("text", F.lit(gloss_marker)),
-                F.array(F.lit(ALWAYS_REQUIRED), F.lit(GLOSS_AUTHORITY)),
-            ).otherwise(F.array(F.lit(ALWAYS_REQUIRED)))
-        ).alias("authority"),
-        F.lit(True).alias("exists"),
-    )
-    linked = matched.select(
-        "corpus", "unit", "section", "authority", F.lit(False).alias("exists")
+    place = F.lit(None).cast("int")
+    for i, name in enumerate(names):
+        place = F.when(F.col("authority") == name, i).otherwise(place)
+    linked = (
+        matched.select("corpus", "unit", "section", place.alias("_place"))
+        .where("_place is not null")
+        .groupBy("corpus", "unit", "section")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _place)")).alias("_linked"))
     )
+    always, gloss = 1 << names.index(ALWAYS_REQUIRED), 1 << names.index(GLOSS_AUTHORITY)
+    own = F.when(F.contains("text", F.lit(gloss_marker)), always | gloss).otherwise(always)
     return (
-        sections.unionByName(linked)
-        .groupBy("corpus", "unit", "section")
-        .agg(
-            F.sort_array(F.collect_set("authority")).alias("required"),
-            F.max("exists").alias("_exists"),
+        base.select("corpus", "unit", "section", own.cast("bigint").alias("_own"))
+        .join(linked, ["corpus", "unit", "section"], "left")
+        .select(
+            "corpus",
+            "unit",
+            "section",
+            F.col("_own").bitwiseOR(F.coalesce("_linked", F.lit(0).cast("bigint"))).alias("bits"),
         )
-        .where("_exists")
-        .drop("_exists")
+    )
+
+
+def required_authorities(
+    base: DataFrame,
+    matched: DataFrame,
+    gloss_marker: str = GLOSS_MARKER,
+    corpora: tuple[Corpus, ...] = CORPORA,
+) -> DataFrame:
+    """``(corpus, unit, section, required)`` with a sorted array of authorities."""
+    names = authority_names(corpora)
+    bits = required_bits(base, matched, names, gloss_marker)
+    return bits.select(
+        "corpus", "unit", "section", authorities_of(F.col("bits"), names).alias("required")
     )

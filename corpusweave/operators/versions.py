@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.naming import history_name, latest_name
 
 
 def _newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key.  Reduced map-side: a key with very many versions
-    sends one row per task."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-    )
+    """Newest row per key.  Each task keeps its own newest row of a key before they
+    meet, so a key with very many versions sends one row per task."""
+    place = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
 def version_history(

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.dimensions import ORACH_CHAYIM, YOREH_DEAH, authorities_table, slots_table, works_table
-from corpusweave.functions import naming, payloads, refs, templates, text
+from corpusweave.functions import naming, payloads, ranges, refs, templates, text
 from corpusweave.functions.chunking import CHUNK_LIMIT, SMALL_CHUNK_LIMIT
 from corpusweave.operators import (
     audit,
     batch,
     blocks,
     chunks,
+    containment,
     context,
     links,
     prompts,
@@ -108,11 +109,15 @@ def first_user_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned whole pages, else documents, else the opening turns of conversations."""
     pages = table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), text.clean_markup(F.col("html")).alias("text")
     )
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return segments.fall_back(pages, docs, "id")
+    turns = table(spark, sf, "conversations").where("turn = 0")
+    opening = turns.select((F.col("conv_id") * 3).alias("id"), "text")
+    sources = [("primary", pages), ("legacy", docs), ("archive", opening)]
+    return segments.fall_back(sources, "id")
 
 
 def fetch_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,36 +192,87 @@ def role_pruned_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered by positions that are far apart."""
     rows = inputs.conversation_segments(table(spark, sf, "conversations"))
-    return segments.number_rows(
-        rows.where(F.col("text") != ""), ["corpus", "unit", "work"], "position"
-    ).select("unit", "work", "position", "seg_no")
+    sparse = rows.where(F.col("text") != "").withColumn("position", F.expr("position * 1000003000"))
+    return segments.number_rows(sparse, ["corpus", "unit", "work"], "position").select(
+        "unit", "work", "position", "seg_no"
+    )
 
 
-def artefact_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The benchmark texts as artefact files, written and scanned back."""
-    name = naming.unit_artefact(
-        F.lit(YOREH_DEAH.slug), F.col("item_id"), F.lit("gpt-5.2"), F.lit("draft")
+def segment_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered by nested positions, two segments at each, a whole corpus as one group."""
+    rows = inputs.conversation_segments(table(spark, sf, "conversations"))
+    path = F.array(F.col("unit"), F.floor(F.col("position") / 4), F.floor(F.col("position") / 2) % 2)
+    placed = rows.where(F.col("text") != "").withColumn("path", path)
+    return segments.number_rows(placed, ["corpus"], "path").select(
+        "corpus", F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), "seg_no"
     )
-    path = scratch_path(spark, "artefacts")
-    artefacts.write_artefact_files(
-        table(spark, sf, "benchmark").select(name.alias("artefact"), "text"), path
+
+
+def _document_artefact(kind: str):
+    return naming.unit_artefact(
+        F.lit(YOREH_DEAH.slug), F.col("doc_id"), F.lit("gpt-5.2"), F.lit(kind)
     )
-    return artefacts.scan_artefacts(spark, path).select(
-        F.col("unit").cast("bigint").alias("item_id"),
+
+
+def artefact_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as draft files, those of some languages with a history copy, written and
+    scanned back."""
+    path = scratch_path(spark, "artefacts")
+    docs = table(spark, sf, "documents")
+    draft = _document_artefact("draft")
+    stamp = F.make_timestamp(F.lit(2024), F.lit(5), F.lit(1), F.lit(0), F.lit(0), F.col("doc_id") % 60)
+    old = F.concat(draft, F.lit("_"), F.date_format(stamp, naming.STAMP))
+    copies = F.when(F.col("lang") == "en", F.array(draft, old)).otherwise(F.array(draft))
+    artefacts.write_artefact_files(docs.select(F.explode(copies).alias("artefact"), "text"), path)
+    return artefacts.scan_artefacts(spark, path, "*_draft*").select(
+        F.col("unit").alias("doc_id"),
         "slug",
         "model",
         "kind",
-        F.regexp_replace("text", r"\n\z", "").alias("text"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("saved"),
+        "text",
+    )
+
+
+def relations_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations files of the customers' ranges, named by their units, found by the key of the range."""
+    path = scratch_path(spark, "relations")
+    planned = units.plan_requests(inputs.order_specs(table(spark, sf, "orders")))
+    ranged = planned.where(F.col("error").isNull()).select(
+        ranges.range_name(F.col("context")).alias("name"), "o_orderkey"
+    )
+    named = ranged.groupBy("name").agg(F.min("o_orderkey").alias("first"))
+    name = naming.relations_artefact(F.lit(YOREH_DEAH.slug), F.col("name"), F.lit("o1.x"))
+    text_ = F.concat(F.lit("of "), F.col("first").cast("string"))
+    artefacts.write_artefact_files(named.select(name.alias("artefact"), text_.alias("text")), path)
+    return artefacts.scan_relations(spark, path).select("slug", "range_key", "model", "text")
+
+
+def context_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Context documents written as files and read back."""
+    path = scratch_path(spark, "contexts")
+    artefacts.write_context_files(
+        _contexts(spark, sf), path, F.replace(F.col("corpus"), F.lit(" "), F.lit("_")), F.lit("gpt-5.2")
+    )
+    return artefacts.scan_artefacts(spark, path, "*_context_*").select(
+        "unit", F.regexp_extract("kind", r"(\d+)$", 1).cast("int").alias("part_no"), "text"
     )
 
 
 # --- documents and prompts --------------------------------------------------
 
 
+# Small parts, so that the documents of conversations have several.
+CONTEXT_PART = 1500
+
+
 def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     rows = inputs.conversation_segments(table(spark, sf, "conversations"))
-    return context.assemble_context(_units(spark, sf), works_table(spark), rows)
+    return context.assemble_context(
+        _units(spark, sf), works_table(spark), rows, part_bytes=CONTEXT_PART
+    )
 
 
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,15 +308,17 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return units.plan_requests(inputs.customer_requests(table(spark, sf, "customer")))
 
 
+# Small parts, so that prompts of three documents have several.
+PROMPT_PART = 4096
+
+
 def prompt_relations(spark: SparkSession, sf: str) -> DataFrame:
     drafts = inputs.documents_as_drafts(table(spark, sf, "documents"))
-    return prompts.relations_prompts(_requests(spark, sf), drafts, ["request_id"])
+    return prompts.relations_prompts(_requests(spark, sf), drafts, ["request_id"], PROMPT_PART)
 
 
 def prompt_polish(spark: SparkSession, sf: str) -> DataFrame:
-    targets = _requests(spark, sf).select(
-        "request_id", "corpus", "range_key", F.explode("limited").alias("unit")
-    )
+    targets = _requests(spark, sf).select("request_id", "corpus", "range_key", "limited")
     return prompts.polish_prompts(
         targets,
         inputs.documents_as_drafts(table(spark, sf, "documents")),
@@ -269,6 +327,14 @@ def prompt_polish(spark: SparkSession, sf: str) -> DataFrame:
     ).select("request_id", "unit", "text")
 
 
+def polish_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets without a draft, as rows of an error table."""
+    drafts = inputs.documents_as_drafts(table(spark, sf, "documents"))
+    return units.missing_units(
+        _requests(spark, sf), "limited", drafts, ["corpus"], ["request_id"]
+    ).select("request_id", "lo", "hi", "n_units")
+
+
 def polish_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies of direct polish calls, written as JSON and read back."""
     asked = table(spark, sf, "customer").select(
@@ -313,6 +379,13 @@ def contain_join(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def contain_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark text."""
+    return containment.contained_texts(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id"
+    )
+
+
 def required_set(spark: SparkSession, sf: str) -> DataFrame:
     oriented = links.orient_links(inputs.order_links(table(spark, sf, "orders")))
     return links.required_authorities(
@@ -362,31 +435,39 @@ def audit_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _order_plan(spark: SparkSession, sf: str) -> DataFrame:
-    planned = units.plan_requests(inputs.order_specs(table(spark, sf, "orders")))
+    planned = units.plan_requests(inputs.order_requests(table(spark, sf, "orders")))
     return planned.where(F.col("error").isNull())
 
 
-def _listed(column: str):
-    return F.array_join(F.transform(column, lambda u: u.cast("string")), ",")
-
-
 def context_union(spark: SparkSession, sf: str) -> DataFrame:
-    return _order_plan(spark, sf).select("o_orderkey", _listed("context").alias("context"))
+    return _order_plan(spark, sf).select(
+        "o_orderkey",
+        ranges.count_units(F.col("context")).alias("n_units"),
+        ranges.interval_text(F.col("context")).alias("context"),
+    )
 
 
 def limit_targets(spark: SparkSession, sf: str) -> DataFrame:
-    return _order_plan(spark, sf).select("o_orderkey", _listed("limited").alias("limited"))
+    return _order_plan(spark, sf).select(
+        "o_orderkey",
+        ranges.nth_unit(F.col("limited"), ranges.count_units(F.col("limited"))).alias("last_unit"),
+        ranges.interval_text(F.col("limited")).alias("limited"),
+    )
 
 
 def range_key(spark: SparkSession, sf: str) -> DataFrame:
-    return _order_plan(spark, sf).select("o_orderkey", "range_key", "first_unit")
+    return _order_plan(spark, sf).select(
+        "o_orderkey",
+        "range_key",
+        ranges.range_name(F.col("context")).alias("range_name"),
+        "first_unit",
+    )
 
 
 def drafts_needed(spark: SparkSession, sf: str) -> DataFrame:
     relations = inputs.customer_relations(table(spark, sf, "customer"))
-    return units.drafts_needed(_requests(spark, sf), relations, ["range_key"]).select(
-        "request_id", "unit"
-    )
+    needed = units.drafts_needed(_requests(spark, sf), relations, ["range_key"])
+    return units.interval_rows(needed.select("request_id", "needed"), "needed")
 
 
 def _cached(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,7 +492,7 @@ def missing_needed(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Request lines, read back field by field."""
-    asked = _draft_prompts(spark, sf).join(_units(spark, sf), ["corpus", "unit"])
+    asked = _draft_prompts(spark, sf)
     model = F.when(F.col("is_target"), "o1-mini").otherwise("gpt-5.2")
     lines = prompts.batch_requests(asked, model, F.lit("be exact"), F.lit(0.3))
     schema = (
@@ -433,6 +514,18 @@ def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def request_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Request lines written as files and read back."""
+    path = scratch_path(spark, "requests")
+    asked = _draft_prompts(spark, sf)
+    made = prompts.batch_requests(asked, F.lit("gpt-5.2"), F.lit("be exact"), F.lit(0.3))
+    batch_files.write_requests(made, path)
+    line = F.from_json("value", "custom_id string, method string, body struct<model: string, messages: array<struct<content: string>>>")
+    return spark.read.text(path).select(line.alias("r")).select(
+        "r.custom_id", "r.method", "r.body.model", F.get("r.body.messages", F.lit(1)).content.alias("prompt")
+    )
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     lines = inputs.result_lines(table(spark, sf, "conversations"))
     return batch.first_usable(batch.parse_results(lines), ["turn"])
@@ -467,29 +560,66 @@ def status_route(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _land_results(spark: SparkSession, sf: str) -> str:
-    """Result lines as files; those of one conversation in one file, in turn order,
-    as a batch writes them."""
-    path = scratch_path(spark, "results")
+def result_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that give no content, with their reason."""
+    parsed = batch.parse_results(inputs.result_lines(table(spark, sf, "conversations")))
+    return batch.result_errors(parsed, ["conv_id", "turn"]).drop("line_text")
+
+
+JOBS = (YOREH_DEAH.slug, ORACH_CHAYIM.slug)
+
+
+def _land_results(spark: SparkSession, sf: str, path: str, again: str = "") -> None:
+    """Result lines as files, of two jobs that ask for the same units; the second answers in
+    other words.  Files in order hold each conversation in turn order, a long one over
+    several."""
     lines = inputs.result_lines(table(spark, sf, "conversations"))
-    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(
-        "value"
-    ).write.text(path)
-    return path
+    for job in JOBS:
+        told = lines if job == JOBS[0] else lines.withColumn(
+            "value", F.replace(F.col("value"), F.lit('"content":"'), F.lit(f'"content":"{job} '))
+        )
+        told.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(
+            "value"
+        ).write.text(f"{path}/job={job}{again}")
 
 
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
     """Result lines scanned from files; the first usable one per id in file order."""
-    scanned = batch_files.read_result_lines(spark, _land_results(spark, sf))
+    path = scratch_path(spark, "results")
+    _land_results(spark, sf, path)
+    scanned = batch_files.read_result_lines(spark, f"{path}/job={JOBS[0]}")
     return batch.first_usable(batch.parse_results(scanned), batch_files.LINE_ORDER)
 
 
+def _ingested(spark: SparkSession, sf: str) -> str:
+    """A store that has taken the files of both jobs, and all of them once more."""
+    landing, store, offsets = (scratch_path(spark, n) for n in ("landing", "store", "offsets"))
+    jobs = F.explode(F.array(*[F.lit(j) for j in JOBS]))
+    asked = table(spark, sf, "labels").select(
+        jobs.alias("job"), naming.custom_id(F.col("doc_id")).alias("custom_id")
+    )
+    streamed.register_requests(asked, store)
+    for again in ("", "/repeated"):
+        _land_results(spark, sf, landing, again)
+        streamed.ingest_results(streamed.result_stream(spark, landing), store, offsets).awaitTermination()
+    return store
+
+
 def stream_results(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files ingested as a stream and read back."""
-    store, offsets = scratch_path(spark, "store"), scratch_path(spark, "offsets")
-    arriving = streamed.result_stream(spark, _land_results(spark, sf))
-    streamed.ingest_results(arriving, store, offsets).awaitTermination()
-    return streamed.ingested(spark, store)
+    """The same files ingested as a stream, delivered twice: one row per request."""
+    return streamed.ingested(spark, _ingested(spark, sf))
+
+
+def stream_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream could not use, counted by reason, beside the counts it observed itself."""
+    store = _ingested(spark, sf)
+    errors = streamed.ingest_errors(spark, store).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {"broken": batch.BROKEN, "no_id": batch.NO_ID, "no_content": batch.NO_CONTENT}
+    counted = streamed.ingest_counts(spark, store).select(
+        F.inline(F.array(*[F.struct(F.lit(v).alias("error"), F.col(k).alias("n")) for k, v in kinds.items()]))
+    )
+    observed = counted.groupBy("error").agg(F.sum("n").alias("n_observed"))
+    return observed.join(errors, "error", "left")
 
 
 # --- chunks -----------------------------------------------------------------
@@ -505,11 +635,14 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunk_stats(table(spark, sf, "documents"), ["doc_id"], limit=CHUNK_LIMIT)
 
 
+PAYLOAD_PART = 8192
+
+
 def reassemble_chunks(spark: SparkSession, sf: str) -> DataFrame:
     cut = chunks.chunk_texts(table(spark, sf, "documents"), ["doc_id"], limit=SMALL_CHUNK_LIMIT)
     spoken = cut.select("doc_id", "chunk_no", F.encode("chunk", "UTF-8").alias("payload"))
-    return chunks.reassemble(spoken, ["doc_id"]).select(
-        "doc_id", "part_no", F.decode("payload", "UTF-8").alias("payload")
+    return chunks.reassemble(spoken, ["doc_id"], part_bytes=PAYLOAD_PART).select(
+        "doc_id", "part_no", "n_parts", F.decode("payload", "UTF-8").alias("payload")
     )
 
 
@@ -604,7 +737,11 @@ QUERIES = {
         work_dim_join,
         role_pruned_sources,
         segment_numbers,
+        segment_paths,
         artefact_scan,
+        relations_scan,
+        context_files,
+        request_files,
         ranges_expand,
         range_errors,
         numeral_table,
@@ -612,6 +749,7 @@ QUERIES = {
         ref_build,
         link_orient,
         contain_join,
+        contain_texts,
         required_set,
         block_split,
         coverage_audit,
@@ -627,6 +765,7 @@ QUERIES = {
         prompt_draft,
         prompt_relations,
         prompt_polish,
+        polish_missing,
         polish_requests,
         batch_requests,
         batch_results,
@@ -644,6 +783,8 @@ QUERIES = {
         payload_size,
         fence_extract,
         stream_results,
+        stream_errors,
         result_files,
+        result_errors,
     )
 }

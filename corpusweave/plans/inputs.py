@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from corpusweave.dimensions import BASE_WORK, CORPORA, ORACH_CHAYIM, YOREH_DEAH, Corpus
 from corpusweave.functions.numerals import letters
-from corpusweave.session import spread
 
 # Patterns for the languages of the documents, in place of the built-in ones.
 COMMON = {
@@ -35,8 +34,8 @@ LINKED = {
     "Mishna Berura": "(keit|ent)",
 }
 GLOSS = "en"
-# A line of a document gets a section in its draft from this length on.
-KEPT_LINE = 60
+# First digits of the md5 of lines that get no section in the draft of their document.
+DROPPED = ("0", "1", "2", "3")
 
 
 def _for_documents(corpus: Corpus) -> Corpus:
@@ -50,13 +49,8 @@ def _for_documents(corpus: Corpus) -> Corpus:
 DOCUMENT_CORPORA = tuple(_for_documents(c) for c in CORPORA)
 
 
-# Tables whose rows take much work: long texts, specs to parse.
-HEAVY_ROWS = ("documents", "pages", "conversations", "orders", "customer")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in HEAVY_ROWS else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus_of(lang: Column) -> Column:
@@ -71,11 +65,12 @@ def lines_of(text: Column) -> Column:
 
 
 def document_drafts(documents: DataFrame) -> DataFrame:
-    """A draft per document: the longer lines, each under the header of its number."""
+    """A draft per document: its lines, each under the header of its number, but for about
+    every fourth, which a hash picks."""
     section = F.transform(
         lines_of(F.col("text")),
         lambda line, i: F.when(
-            F.length(line) >= KEPT_LINE,
+            ~F.left(F.md5(F.encode(line, "UTF-8")), F.lit(1)).isin(*DROPPED),
             F.concat(
                 F.lit("\n## סעיף "),
                 F.coalesce(letters(i + 1), (i + 1).cast("string")),
@@ -152,21 +147,20 @@ def target_units(labels: DataFrame) -> DataFrame:
 
 
 def result_lines(conversations: DataFrame) -> DataFrame:
-    """Result lines of batch jobs: errors from system turns, broken lines from short turns."""
+    """Result lines of batch jobs: errors from system turns, broken lines from short turns, and
+    lines that have lost their id."""
     id_ = F.concat(F.lit("siman_"), F.col("conv_id").cast("string"), F.lit("_generation"))
     message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
-    good = F.struct(
-        id_.alias("custom_id"),
-        F.struct(
-            F.lit(200).alias("status_code"),
-            F.struct(F.array(message).alias("choices")).alias("body"),
-        ).alias("response"),
-    )
+    response = F.struct(
+        F.lit(200).alias("status_code"),
+        F.struct(F.array(message).alias("choices")).alias("body"),
+    ).alias("response")
     failed = F.struct(id_.alias("custom_id"), F.struct("role").alias("error"))
     value = (
         F.when(F.length("text") < 40, F.concat(F.lit('{"custom_id": '), "text"))
         .when(F.col("role") == "system", F.to_json(failed))
-        .otherwise(F.to_json(good))
+        .when(F.col("turn") % 5 == 3, F.to_json(F.struct(response)))
+        .otherwise(F.to_json(F.struct(id_.alias("custom_id"), response)))
     )
     return conversations.select("conv_id", "turn", value.alias("value"))
 
@@ -227,13 +221,31 @@ def order_specs(orders: DataFrame) -> DataFrame:
     )
 
 
+# Units of a long request, and one request in so many is one.
+LONG = 10_000_000
+LONG_EVERY = 5000
+
+
+def order_requests(orders: DataFrame) -> DataFrame:
+    """The specs of :func:`order_specs`; some ask for ten million units."""
+    is_long = F.col("o_orderkey") % LONG_EVERY == 3
+    spec = F.when(is_long, F.lit(f"5,7-{LONG + 6}")).otherwise(F.col("target_spec"))
+    return order_specs(orders).withColumn("target_spec", spec)
+
+
+def _is_long(customer: Column) -> Column:
+    return customer % LONG_EVERY == 7
+
+
 def customer_requests(customer: DataFrame) -> DataFrame:
-    """A request per customer: one document as target, with the next ones as context."""
+    """A request per customer: one document as target, with the next ones as context; some ask
+    for ten million as targets."""
     k = F.col("c_custkey")
+    target = F.when(_is_long(k), F.format_string("%d-%d", k, k + LONG - 1)).otherwise(k.cast("string"))
     return customer.select(
         F.lit(YOREH_DEAH.key).alias("corpus"),
         F.col("c_custkey").alias("request_id"),
-        k.cast("string").alias("target_spec"),
+        target.alias("target_spec"),
         F.format_string("%d-%d", k + 1, k + 2).alias("context_spec"),
         F.lit(None).cast("int").alias("target_limit"),
     )
@@ -242,8 +254,9 @@ def customer_requests(customer: DataFrame) -> DataFrame:
 def customer_relations(customer: DataFrame) -> DataFrame:
     """Relations texts for the ranges of :func:`customer_requests`; some are empty."""
     k = F.col("c_custkey")
+    last = F.when(_is_long(k), k + LONG - 1).otherwise(k + 2)
     return customer.where(F.col("c_mktsegment") != "BUILDING").select(
-        F.format_string("%d_%d_%d", k, k + 1, k + 2).alias("range_key"),
+        F.format_string("%d-%d", k, last).alias("range_key"),
         F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("text"),
     )
 

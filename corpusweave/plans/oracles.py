@@ -90,7 +90,7 @@ _REQUIRED = """
 
 _COUNTED = """
   counted AS (
-    SELECT r.corpus, r.unit, r.section, r.authority, length(s.line) >= 60 AS has_block,
+    SELECT r.corpus, r.unit, r.section, r.authority, left(md5(s.line), 1) > '3' AS has_block,
            len(regexp_extract_all(s.line, '(?i)' || CASE r.authority
              WHEN 'Mechaber' THEN '(tion|ing|ung)' WHEN 'Rema' THEN '(ou|and|die)'
              WHEN 'Shach' THEN '(wh|pa)' WHEN 'Taz' THEN '(er the|lle|lich)'
@@ -109,7 +109,7 @@ _COUNTED = """
     SELECT d.corpus, d.unit,
            coalesce(sum(len(regexp_extract_all(s.line, '(?i)(with|avec|mit)'))), 0) AS tur,
            coalesce(sum(len(regexp_extract_all(s.line, '(?i)(from|pour|von|para)'))), 0) AS beit
-    FROM docs d LEFT JOIN sections s ON s.unit = d.unit AND length(s.line) >= 60
+    FROM docs d LEFT JOIN sections s ON s.unit = d.unit AND left(md5(s.line), 1) > '3'
     GROUP BY d.corpus, d.unit),
   audited AS (
     SELECT w.corpus, w.unit, count(p.section) AS n_sections,
@@ -192,18 +192,44 @@ _CONTEXT = f"""{_SEGMENTS},
     FROM convs c LEFT JOIN numbered n ON n.unit = c.unit GROUP BY c.unit)"""
 
 
-def _prompt(unit: str, context: str) -> str:
-    opening, closing = templates.DRAFT_REQUIREMENTS, templates.DRAFT_CLOSING
-    first, rest = opening.split("{authorities}")
+_CONTEXT_PARTS = f"""{_CONTEXT},
+  pieces AS (
+    SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY work_ord, i) AS n, text,
+      CASE WHEN i = 1 THEN '--- ' || work || ' (סימן ' || unit || ') ---' || repeat(chr(10), 2) ELSE '' END
+        || '[' || i || '] ' || text || repeat(chr(10), 2) AS piece
+    FROM numbered),
+  stretched AS (
+    SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY unit ORDER BY n
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1500 AS stretch FROM pieces),
+  dealt AS (
+    SELECT *, dense_rank() OVER (PARTITION BY unit ORDER BY stretch) AS part FROM stretched),
+  bodies AS (
+    SELECT unit, part, string_agg(piece, '' ORDER BY n) AS body,
+      max(part) OVER (PARTITION BY unit) AS parts
+    FROM dealt GROUP BY unit, part),
+  parts AS (
+    SELECT c.unit, CAST(coalesce(part, 1) AS INT) AS part_no, CAST(coalesce(parts, 1) AS INT) AS n_parts,
+      CASE WHEN coalesce(part, 1) = 1 THEN repeat(chr(10), 2) || repeat('=', 41) || chr(10) || '=== סימן '
+        || c.unit || ' ===' || chr(10) || repeat('=', 41) || repeat(chr(10), 2) ELSE '' END
+        || coalesce(body, '') AS text
+    FROM convs c LEFT JOIN bodies b ON b.unit = c.unit)"""
+
+
+def _opening(unit: str) -> str:
+    first, rest = templates.DRAFT_REQUIREMENTS.split("{authorities}")
     head, tail = rest.split("{numeral}")
     names = [_q(c.slots["prompt_commentators_desc"]) for c in (YOREH_DEAH, ORACH_CHAYIM)]
     authorities = f"CASE WHEN {unit} % 2 = 0 THEN {names[0]} ELSE {names[1]} END"
-    c_head, c_tail = closing.split("{numeral}")
-    g = _numeral(unit)
-    return (
-        f"{_lit(first)} || {authorities} || {_lit(head)} || {g} || {_lit(tail)} || {context} || {_lit(c_head)} || {g} ||"
-        f" {_lit(c_tail)}"
-    )
+    return f"{_lit(first)} || {authorities} || {_lit(head)} || {_numeral(unit)} || {_lit(tail)}"
+
+
+def _closing(unit: str) -> str:
+    head, tail = templates.DRAFT_CLOSING.split("{numeral}")
+    return f"{_lit(head)} || {_numeral(unit)} || {_lit(tail)}"
+
+
+def _prompt(unit: str, context: str) -> str:
+    return f"{_opening(unit)} || {context} || {_closing(unit)}"
 
 
 # --- requests ---------------------------------------------------------------
@@ -214,17 +240,54 @@ _ORDER_UNITS = """
   targets AS (
     SELECT o_orderkey, s, k, CASE p WHEN '1-URGENT' THEN [k]
       WHEN '2-HIGH' THEN range(k, k + 10)
-      WHEN '3-MEDIUM' THEN [k, k + 7] ELSE [k, k + 1, k + 2] END AS targets,
-      CASE s WHEN 'O' THEN range(k + 1, k + 5) WHEN 'P' THEN [k + 2, k + 20, k + 21, k + 22]
-        ELSE [] END AS extra
-    FROM specs WHERE p <> '4-NOT SPECIFIED' AND k > 0),
-  planned AS (
-    SELECT *, list_sort(list_distinct(list_concat(targets, extra))) AS context FROM targets)"""
+      WHEN '3-MEDIUM' THEN [k, k + 7] ELSE [k, k + 1, k + 2] END AS targets
+    FROM specs WHERE p <> '4-NOT SPECIFIED' AND k > 0)"""
+
+# units unit by unit and back to intervals
+_LONG_REQUESTS = """WHERE o_orderkey % 5000 <> 3
+    UNION ALL
+    SELECT o_orderkey, o_orderstatus, o_custkey, unnest(list_concat([5], range(7, 10000007)))
+    FROM orders WHERE o_orderkey % 5000 = 3"""
+
+
+def _units_of(more: str) -> str:
+    return f"""{_ORDER_UNITS},
+  asked AS (
+    SELECT o_orderkey, s, k, unnest(targets) AS u FROM targets {more}),
+  extra AS (
+    SELECT DISTINCT o_orderkey, unnest(CASE s WHEN 'O' THEN range(k + 1, k + 5)
+      WHEN 'P' THEN [k + 2, k + 20, k + 21, k + 22] ELSE [] END) AS u FROM asked),
+  whole AS (SELECT o_orderkey, u FROM asked UNION SELECT o_orderkey, u FROM extra),
+  placed AS (
+    SELECT o_orderkey, s, u, row_number() OVER (PARTITION BY o_orderkey ORDER BY u) AS n FROM asked),
+  limited AS (
+    SELECT o_orderkey, u FROM placed
+    WHERE s NOT IN ('O', 'P') OR n <= CASE s WHEN 'O' THEN 1 ELSE 2 END)"""
+
+
+_REQUEST_UNITS = _units_of(_LONG_REQUESTS)
+
+
+def _islands(table: str) -> str:
+    return f"""
+  islands AS (
+    SELECT o_orderkey, min(u) AS lo, max(u) AS hi, count(*) AS n FROM (
+      SELECT o_orderkey, u, u - row_number() OVER (PARTITION BY o_orderkey ORDER BY u) AS g
+      FROM {table}) GROUP BY o_orderkey, g),
+  shown AS (
+    SELECT *, CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END AS part
+    FROM islands)"""
+
 
 _CUSTOMER_RELATIONS = """
   relations AS (
     SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END AS relations
-    FROM customer WHERE c_mktsegment <> 'BUILDING')"""
+    FROM customer WHERE c_mktsegment <> 'BUILDING'),
+  requests AS (
+    SELECT c_custkey, c_mktsegment, c_custkey AS lo, c_custkey % 5000 = 7 AS long,
+      CASE WHEN c_custkey % 5000 = 7 THEN c_custkey + 9999999 ELSE c_custkey END AS target_hi,
+      CASE WHEN c_custkey % 5000 = 7 THEN c_custkey + 9999999 ELSE c_custkey + 2 END AS context_hi
+    FROM customer WHERE c_custkey > 0)"""
 
 # --- chunks -----------------------------------------------------------------
 
@@ -273,15 +336,21 @@ def _chunks(limit: int) -> str:
 _FIRST_RESULT = """
   usable AS (
     SELECT 'siman_' || conv_id || '_generation' AS custom_id, turn, text
-    FROM conversations WHERE length(text) >= 40 AND role <> 'system'),
+    FROM conversations WHERE length(text) >= 40 AND role <> 'system' AND turn % 5 <> 3),
   first_results AS (
     SELECT custom_id, arg_min(text, turn) AS content FROM usable GROUP BY 1)"""
 
+_ERRORS = """
+  errors AS (
+    SELECT conv_id, turn, CASE WHEN length(text) < 40 THEN 'broken line'
+      WHEN role = 'system' THEN 'no content' WHEN turn % 5 = 3 THEN 'no custom id' END AS error
+    FROM conversations)"""
+
 _EVENT_NAME = "'Yoreh_Deah_Siman_' || user_id || '_gpt-5_2_' || event_type"
 
 ORACLES = {
-    "assemble_context": f"""WITH {_CONTEXT}
-SELECT unit, CAST(1 AS INT) AS part_no, CAST(1 AS INT) AS n_parts, text FROM contexts""",
+    "assemble_context": f"""WITH {_CONTEXT_PARTS}
+SELECT unit, part_no, n_parts, text FROM parts""",
     "html_clean": f"""SELECT page_id, {_clean('html')} AS text,
   CAST(length({_clean('html')}) AS INT) AS n_chars FROM pages""",
     "nested_flatten": f"""
@@ -302,13 +371,14 @@ SELECT doc_id, CAST(len(s) AS INT) AS n_segments, array_to_string(s, '|') AS tex
 SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user'
 GROUP BY conv_id HAVING arg_min(text, turn) <> ''""",
     "source_fallback": f"""
-WITH p AS (
-  SELECT page_id, {_clean('html')} AS t FROM pages)
-SELECT coalesce(page_id, doc_id) AS id,
-  CASE WHEN coalesce(t, '') <> '' THEN 'primary' WHEN coalesce(text, '') <> '' THEN 'legacy'
-    ELSE 'none' END AS origin,
-  coalesce(nullif(t, ''), text, '') AS text
-FROM p FULL JOIN documents ON page_id = doc_id""",
+WITH p AS (SELECT page_id AS id, {_clean('html')} AS t FROM pages),
+d AS (SELECT doc_id AS id, text AS t FROM documents),
+c AS (SELECT conv_id * 3 AS id, text AS t FROM conversations WHERE turn = 0)
+SELECT id,
+  CASE WHEN coalesce(p.t, '') <> '' THEN 'primary' WHEN coalesce(d.t, '') <> '' THEN 'legacy'
+    WHEN coalesce(c.t, '') <> '' THEN 'archive' ELSE 'none' END AS origin,
+  coalesce(nullif(p.t, ''), nullif(d.t, ''), c.t, '') AS text
+FROM p FULL JOIN d USING (id) FULL JOIN c USING (id)""",
     "fetch_sources": f"""
 WITH w AS (
   SELECT doc_id, lang, source, {_CORPUS} AS corpus,
@@ -350,11 +420,29 @@ SELECT unit, turn AS position, work, CAST(work_ord AS BIGINT) AS work_ord,
 SELECT unit, work, turn AS position, is_target FROM segs JOIN convs USING (unit)
 WHERE is_target OR work IN ('Tur', 'Shulchan Arukh')""",
     "segment_numbers": f"""WITH {_SEGMENTS}
-SELECT unit, work, turn AS position,
+SELECT unit, work, turn * 1000003000 AS position,
   row_number() OVER (PARTITION BY unit, work ORDER BY turn) AS seg_no
 FROM segs WHERE text <> ''""",
+    "segment_paths": f"""WITH {_SEGMENTS}
+SELECT corpus, unit || '.' || turn // 4 || '.' || (turn // 2) % 2 AS path,
+  row_number() OVER (PARTITION BY corpus ORDER BY unit, turn) AS seg_no
+FROM segs JOIN convs USING (unit) WHERE text <> ''""",
     "artefact_scan": """
-SELECT item_id, 'Yoreh_Deah' AS slug, 'gpt-5_2' AS model, 'draft' AS kind, text FROM benchmark""",
+SELECT doc_id, 'Yoreh_Deah' AS slug, 'gpt-5_2' AS model, 'draft' AS kind, CAST(NULL AS VARCHAR) AS saved, text
+FROM documents
+UNION ALL
+SELECT doc_id, 'Yoreh_Deah', 'gpt-5_2', 'draft',
+  '2024-05-01 00:00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0'), text
+FROM documents WHERE lang = 'en'""",
+    "relations_scan": f"""WITH {_units_of('')},{_islands('whole')},
+keys AS (SELECT o_orderkey, string_agg(part, '_' ORDER BY lo) AS range_key FROM shown GROUP BY 1)
+SELECT 'Yoreh_Deah' AS slug, range_key, 'o1_x' AS model, 'of ' || min(o_orderkey) AS text
+FROM keys GROUP BY range_key""",
+    "context_files": f"""WITH {_CONTEXT_PARTS} SELECT unit, part_no, text FROM parts""",
+    "request_files": f"""WITH {_CONTEXT}
+SELECT 'siman_' || unit || '_generation' AS custom_id, 'POST' AS method, 'gpt-5.2' AS model,
+  {_prompt('unit', 'text')} AS prompt
+FROM contexts WHERE unit BETWEEN 1 AND 999""",
     "ranges_expand": f"""WITH {_ORDER_UNITS}
 SELECT o_orderkey, unnest(targets) AS unit,
   CAST(unnest(range(1, len(targets) + 1)) AS BIGINT) AS unit_no FROM targets""",
@@ -397,12 +485,15 @@ SELECT o_orderkey, corpus, unit, section,
 FROM link_rows WHERE status IN ('F', 'O')""",
     "contain_join": f"""WITH {_LINK_ROWS}
 SELECT o_orderkey, authority FROM link_rows WHERE status IN ('F', 'O')""",
+    "contain_texts": """
+SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+WHERE b.text <> ''""",
     "required_set": f"""WITH {_SECTIONS},{_LINK_ROWS},{_REQUIRED}
 SELECT corpus, unit, CAST(section AS INT) AS section,
   string_agg(authority, ', ' ORDER BY authority) AS required FROM required GROUP BY ALL""",
     "block_split": f"""WITH {_SECTIONS},
 kept AS (SELECT *, max(section) OVER (PARTITION BY unit) AS last FROM sections
-  WHERE length(line) >= 60)
+  WHERE left(md5(line), 1) > '3')
 SELECT corpus, unit, CAST(section AS INT) AS section,
   chr(10) || line || CASE WHEN section < last THEN chr(10) ELSE '' END AS text FROM kept""",
     "coverage_audit": f"""{_AUDIT}
@@ -414,17 +505,24 @@ FROM audited""",
     "missing_sections": f"""{_AUDIT}
 SELECT unit, coalesce(array_to_string(missing, ','), '') AS missing FROM audited""",
     "audit_report": _REPORT,
-    "context_union": f"""WITH {_ORDER_UNITS}
-SELECT o_orderkey, array_to_string(context, ',') AS context FROM planned""",
-    "limit_targets": f"""WITH {_ORDER_UNITS}
-SELECT o_orderkey, array_to_string(CASE s WHEN 'O' THEN targets[1:1] WHEN 'P' THEN targets[1:2]
-  ELSE targets END, ',') AS limited FROM planned""",
-    "range_key": f"""WITH {_ORDER_UNITS}
-SELECT o_orderkey, array_to_string(context, '_') AS range_key, k AS first_unit FROM planned""",
+    "context_union": f"""WITH {_REQUEST_UNITS},{_islands('whole')}
+SELECT o_orderkey, CAST(sum(n) AS BIGINT) AS n_units, string_agg(part, ',' ORDER BY lo) AS context
+FROM shown GROUP BY 1""",
+    "limit_targets": f"""WITH {_REQUEST_UNITS},{_islands('limited')}
+SELECT o_orderkey, string_agg(part, ',' ORDER BY lo) AS limited, max(hi) AS last_unit
+FROM shown GROUP BY 1""",
+    "range_key": f"""WITH {_REQUEST_UNITS},{_islands('whole')},
+names AS (
+  SELECT o_orderkey, string_agg(u, '_' ORDER BY u) AS name FROM whole
+  WHERE o_orderkey % 5000 <> 3 GROUP BY 1)
+SELECT o_orderkey, string_agg(part, '_' ORDER BY lo) AS range_key,
+  CASE WHEN length(any_value(name)) <= 255 THEN any_value(name) END AS range_name,
+  (SELECT min(u) FROM asked a WHERE a.o_orderkey = s.o_orderkey) AS first_unit
+FROM shown s LEFT JOIN names USING (o_orderkey) GROUP BY o_orderkey""",
     "drafts_needed": f"""WITH {_CUSTOMER_RELATIONS}
-SELECT c.c_custkey AS request_id, unnest(CASE WHEN coalesce(relations, '') <> ''
-  THEN [c.c_custkey] ELSE [c.c_custkey, c.c_custkey + 1, c.c_custkey + 2] END) AS unit
-FROM customer c LEFT JOIN relations USING (c_custkey) WHERE c.c_custkey > 0""",
+SELECT c_custkey AS request_id, lo, CASE WHEN coalesce(relations, '') <> ''
+  THEN target_hi ELSE context_hi END AS hi
+FROM requests LEFT JOIN relations USING (c_custkey)""",
     "cached_needed": """
 SELECT doc_id, lang FROM documents d WHERE EXISTS (
   SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 0 AND quality IS NOT NULL)""",
@@ -438,29 +536,49 @@ SELECT doc_id, CASE WHEN lang IN ('en', 'fr')
   ELSE 'אורח חיים (' || source || '): ' || {_q(ORACH_CHAYIM.slots["commentators_list_short"])}
     || ' - ' || {_q(ORACH_CHAYIM.slots["prompt_commentators_desc"])} END AS text
 FROM documents""",
-    "prompt_draft": f"""WITH {_CONTEXT}
-SELECT unit, CAST(1 AS INT) AS part_no, CAST(1 AS INT) AS n_parts,
-  CASE WHEN unit BETWEEN 1 AND 999 THEN {_prompt('unit', 'text')} END AS text,
+    "prompt_draft": f"""WITH {_CONTEXT_PARTS}
+SELECT unit, part_no, n_parts,
+  CASE WHEN unit BETWEEN 1 AND 999 THEN
+    CASE WHEN part_no = 1 THEN {_opening('unit')} ELSE '' END || text ||
+    CASE WHEN part_no = n_parts THEN {_closing('unit')} ELSE '' END END AS text,
   CASE WHEN unit NOT BETWEEN 1 AND 999 THEN 'unit has no numeral' END AS error
-FROM contexts""",
-    "prompt_relations": f"""
-WITH entries AS (
-  SELECT c_custkey AS request_id, string_agg('=== סימן ' || doc_id || ' ===' || chr(10) || text
-    || repeat(chr(10), 2), '' ORDER BY doc_id) AS body
-  FROM customer JOIN documents ON doc_id BETWEEN c_custkey AND c_custkey + 2
-  WHERE c_custkey > 0 GROUP BY 1)
-SELECT c_custkey AS request_id, CAST(1 AS INT) AS part_no,
-  {_lit(templates.RELATIONS_PREAMBLE)} || coalesce(body, '') ||
-  {_lit(templates.RELATIONS_CLOSING)} AS text
-FROM customer LEFT JOIN entries ON request_id = c_custkey WHERE c_custkey > 0""",
+FROM parts""",
+    "prompt_relations": f"""WITH {_CUSTOMER_RELATIONS},
+entries AS (
+  SELECT c_custkey, doc_id,
+    '=== סימן ' || doc_id || ' ===' || chr(10) || text || repeat(chr(10), 2) AS entry
+  FROM requests JOIN documents ON doc_id BETWEEN lo AND context_hi),
+placed AS (
+  SELECT *, coalesce(sum(strlen(entry)) OVER (PARTITION BY c_custkey ORDER BY doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS stretch
+  FROM entries),
+numbered AS (
+  SELECT *, dense_rank() OVER (PARTITION BY c_custkey ORDER BY stretch) AS part FROM placed),
+bodies AS (
+  SELECT c_custkey, part, string_agg(entry, '' ORDER BY doc_id) AS body,
+    max(part) OVER (PARTITION BY c_custkey) AS parts
+  FROM numbered GROUP BY c_custkey, part)
+SELECT c_custkey AS request_id, CAST(coalesce(part, 1) AS INT) AS part_no,
+  CAST(coalesce(parts, 1) AS INT) AS n_parts,
+  CASE WHEN coalesce(part, 1) = 1 THEN {_lit(templates.RELATIONS_PREAMBLE)} ELSE '' END ||
+  coalesce(body, '') ||
+  CASE WHEN coalesce(part, 1) = coalesce(parts, 1) THEN {_lit(templates.RELATIONS_CLOSING)} ELSE '' END AS text
+FROM requests LEFT JOIN bodies USING (c_custkey)""",
     "prompt_polish": f"""WITH {_CUSTOMER_RELATIONS}
 SELECT c.c_custkey AS request_id, doc_id AS unit,
   CASE WHEN coalesce(relations, '') <> '' THEN
     {_lit(templates.POLISH.split("{relations}")[0])} || relations ||
     {_lit(templates.POLISH.split("{relations}")[1].split("{draft}")[0])} || text
   ELSE text END AS text
-FROM customer c JOIN documents ON doc_id = c_custkey LEFT JOIN relations USING (c_custkey)
-WHERE c.c_custkey > 0""",
+FROM requests c JOIN documents ON doc_id BETWEEN lo AND target_hi
+LEFT JOIN relations USING (c_custkey)""",
+    "polish_missing": f"""WITH {_CUSTOMER_RELATIONS},
+marks AS (
+  SELECT c_custkey, doc_id AS u FROM requests JOIN documents ON doc_id BETWEEN lo AND target_hi
+  UNION ALL SELECT c_custkey, lo - 1 FROM requests UNION ALL SELECT c_custkey, target_hi + 1 FROM requests),
+gaps AS (
+  SELECT c_custkey, u + 1 AS lo, lead(u) OVER (PARTITION BY c_custkey ORDER BY u) - 1 AS hi FROM marks)
+SELECT c_custkey AS request_id, lo, hi, hi - lo + 1 AS n_units FROM gaps WHERE lo <= hi""",
     "polish_requests": f"""WITH {_CUSTOMER_RELATIONS}
 SELECT c.c_custkey AS request_id, doc_id AS unit,
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'o3' ELSE 'gpt-5.2' END AS model,
@@ -471,8 +589,8 @@ SELECT c.c_custkey AS request_id, doc_id AS unit,
   ELSE text END AS prompt,
   CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(0.1 AS DOUBLE) END AS temperature,
   CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN 'flex' END AS service_tier
-FROM customer c JOIN documents ON doc_id = c_custkey LEFT JOIN relations USING (c_custkey)
-WHERE c.c_custkey > 0""",
+FROM requests c JOIN documents ON doc_id BETWEEN lo AND target_hi
+LEFT JOIN relations USING (c_custkey)""",
     "batch_requests": f"""WITH {_CONTEXT}
 SELECT unit, CASE WHEN NOT ok THEN 'unit has no numeral' END AS error,
   CASE WHEN ok THEN 'siman_' || unit || '_generation' END AS custom_id,
@@ -486,7 +604,28 @@ SELECT unit, CASE WHEN NOT ok THEN 'unit has no numeral' END AS error,
 FROM (SELECT *, unit BETWEEN 1 AND 999 AS ok FROM contexts)""",
     "batch_results": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
     "result_files": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
-    "stream_results": f"WITH {_FIRST_RESULT} SELECT custom_id, content FROM first_results",
+    "result_errors": f"""WITH {_ERRORS}
+SELECT conv_id, turn, error,
+  CASE WHEN error = 'no content' THEN 'siman_' || conv_id || '_generation' END AS custom_id
+FROM errors WHERE error IS NOT NULL""",
+    "stream_results": f"""WITH {_FIRST_RESULT}, {_ERRORS},
+jobs(job, told) AS (VALUES ('Yoreh_Deah', ''), ('Orach_Chayim', 'Orach_Chayim ')),
+asked AS (SELECT 'siman_' || doc_id || '_generation' AS custom_id FROM labels),
+counted AS (SELECT custom_id, count(*) AS n FROM usable GROUP BY 1),
+failed AS (
+  SELECT 'siman_' || conv_id || '_generation' AS custom_id, count(*) AS n FROM errors
+  WHERE error = 'no content' GROUP BY 1),
+keys AS (SELECT * FROM asked UNION SELECT custom_id FROM counted UNION SELECT custom_id FROM failed)
+SELECT job, custom_id, told || content AS content,
+  CASE WHEN c.n > 0 AND a.custom_id IS NOT NULL THEN 'complete' WHEN c.n > 0 THEN 'orphan'
+    WHEN a.custom_id IS NOT NULL THEN 'pending' ELSE 'failed' END AS state,
+  CASE WHEN c.n > 0 THEN 2 * c.n - 1 ELSE 0 END AS n_duplicates,
+  CAST(2 * coalesce(f.n, 0) AS BIGINT) AS n_failed
+FROM keys LEFT JOIN asked a USING (custom_id) LEFT JOIN counted c USING (custom_id)
+LEFT JOIN failed f USING (custom_id) LEFT JOIN first_results USING (custom_id), jobs""",
+    "stream_errors": f"""WITH {_ERRORS}
+SELECT error, 4 * count(*) AS n, 4 * count(*) AS n_observed FROM errors
+WHERE error IS NOT NULL GROUP BY 1""",
     "batch_join": f"""WITH {_FIRST_RESULT}, jobs(job) AS (VALUES ({_YD}), ({_OC}))
 SELECT coalesce(a.job, r.job) AS job, coalesce(a.custom_id, r.custom_id) AS custom_id, quality, content,
   CASE WHEN a.custom_id IS NULL THEN 'orphan' WHEN r.custom_id IS NULL THEN 'pending'
@@ -507,9 +646,18 @@ SELECT doc_id, CAST(len(chunks) AS BIGINT) AS n_chunks,
   CAST(list_sum(list_transform(chunks, lambda c: length(c))) AS BIGINT) AS total_chars,
   CAST(list_max(list_transform(chunks, lambda c: length(c))) AS INT) AS max_chars
 FROM chunk_lists""",
-    "reassemble_chunks": f"""WITH {_chunks(2000)}
-SELECT doc_id, CAST(1 AS INT) AS part_no, array_to_string(chunks, '') AS payload
-FROM chunk_lists""",
+    "reassemble_chunks": f"""WITH {_chunks(2000)},
+  listed AS (
+    SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS n, unnest(chunks) AS chunk FROM chunk_lists),
+  stretched AS (
+    SELECT *, coalesce(sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY n
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 8192 AS stretch FROM listed),
+  dealt AS (
+    SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY stretch) AS part FROM stretched)
+SELECT doc_id, CAST(part AS INT) AS part_no,
+  CAST(max(part) OVER (PARTITION BY doc_id) AS INT) AS n_parts,
+  string_agg(chunk, '' ORDER BY n) AS payload
+FROM dealt GROUP BY doc_id, part""",
     "version_history": f"""
 SELECT event_id, {_EVENT_NAME} || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.txt' AS history_name,
   {_EVENT_NAME} || '.txt' AS latest_name

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# Splits of a scan that is worth dealing out: at most 4 GB at the default split size.
-SMALL_SCAN = 32
-
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -41,28 +39,28 @@ def build_session(
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusweave-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the session.
+    """A fresh path under the shared checkpoint folder of the session.
 
-    A machine-local folder is used only when the session runs in local mode
-    and names no shared one; on a cluster a missing setting is an error.
+    A session in local mode that names none (as in tests) gets one temporary
+    folder; on a cluster a missing setting is an error.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="corpusweave-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a small scan over the cores.
-
-    One large row group would keep a single core busy with all the text work
-    that follows.  Only scans of few splits, and fewer than there are cores,
-    are shuffled for it; any larger scan is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SCAN)
-    return df.repartition(cores) if small else df
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: worked out once, lineage cut, safe
+    from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -211,3 +211,31 @@ def test_empty_inputs(spark):
         authorities_table(spark),
     )
     assert result.collect() == []
+
+
+def test_drafts_of_a_unit_are_told_apart(spark):
+    """Two models, and the same draft twice; a corpus nobody knows gets an error row."""
+    drafts = spark.createDataFrame(
+        [
+            (YD, 94, "a", GOOD), (YD, 94, "b", POOR), (YD, 94, "b", POOR),
+            ("Nowhere", 94, "a", GOOD), (None, 94, "a", GOOD),
+        ],
+        "corpus string, unit int, model string, text string",
+    )
+    base = spark.createDataFrame([(YD, 94, 1, "x"), (YD, 94, 2, "y"), ("Nowhere", 94, 1, "z")], BASE)
+    links = spark.createDataFrame([(YD, 94, shach(94, "1:1"), base_ref(94, "1"))], LINK)
+    rows = audit_drafts(drafts, base, links, authorities_table(spark)).collect()
+    got = sorted((str(r.corpus), r.model, r.success, r.local_flags, tuple(r.missing)) for r in rows)
+    assert got == [
+        ("None", "a", False, 0, ()), ("Nowhere", "a", False, 0, ()), (YD, "a", True, 0, ()),
+        (YD, "b", False, 2, (2,)), (YD, "b", False, 2, (2,)),
+    ]
+    assert sum("corpus of this draft is not known" in r.report for r in rows) == 2
+
+
+def test_base_sections_are_not_aggregated(spark):
+    """Links are reduced to bitmaps on their own side; base sections only join them."""
+    empty = spark.createDataFrame
+    matched = match_authorities(orient_links(empty([], LINK)), authorities_table(spark))
+    plan = required_authorities(empty([], BASE), matched)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "collect_set" not in plan and "ObjectHashAggregate" not in plan

@@ -78,5 +78,5 @@ def test_reassembly_in_order_and_in_parts(spark):
     df = spark.createDataFrame(rows, "id int, chunk_no int, payload binary")
     whole = reassemble(df, ["id"]).collect()
     assert [(r.part_no, bytes(r.payload)) for r in whole] == [(1, b"p1_p2_p3_p4_p5_")]
-    parts = sorted((r.part_no, bytes(r.payload)) for r in reassemble(df, ["id"], part=2).collect())
+    parts = sorted((r.part_no, bytes(r.payload)) for r in reassemble(df, ["id"], part_bytes=6).collect())
     assert parts == [(1, b"p1_p2_"), (2, b"p3_p4_"), (3, b"p5_")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusweave.dimensions import ORACH_CHAYIM, YOREH_DEAH, works_table
 from corpusweave.operators import prompts, segments
 from corpusweave.operators.context import assemble_context
+from corpusweave.operators.units import missing_units, plan_requests
 
 YD = YOREH_DEAH.key
 SEGMENTS = "corpus string, unit int, work string, position int, text string"
@@ -84,21 +85,49 @@ def test_a_long_unit_comes_in_parts_of_the_same_text(spark):
     rows = spark.createDataFrame(data, SEGMENTS)
     units = spark.createDataFrame([(YD, 1, True), (YD, 2, True)], UNITS)
     whole = assemble_context(units, works_table(spark), rows)
-    cut = assemble_context(units, works_table(spark), rows, block=16)
+    cut = assemble_context(units, works_table(spark), rows, part_bytes=200)
     assert documents(whole) == documents(cut)
     per_unit = {r.unit: r["count"] for r in cut.groupBy("unit").count().collect()}
-    assert per_unit[2] == 1 and per_unit[1] > 50
-    assert cut.agg(F.max(F.length("text"))).first()[0] < 700
+    assert per_unit[2] == 1 and per_unit[1] > 20
+    assert cut.agg(F.max(F.length("text"))).first()[0] < 1000
+    # the same parts whatever positions are called: far apart, texts, paths
+    keyed = rows.where("text <> ''")
+    for position in ("position * 1000000", "format_string('%06d', position)", "array(position div 7, position % 7)"):
+        other = keyed.withColumn("position", F.expr(position))
+        again = assemble_context(units, works_table(spark), other, part_bytes=200)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, cut.collect()))
 
 
 def test_blocked_numbers_equal_plain_numbers(spark):
+    """Hot and cold groups, a null group, sparse, repeated, null and nested positions, whole ties."""
     rnd = random.Random(2)
-    data = [(k, p) for k, n in (("hot", 300), ("cold", 4)) for p in rnd.sample(range(999), n)]
-    df = spark.createDataFrame(data, "k string, p int")
-    got = {(r.k, r.p): r.seg_no for r in segments.number_rows(df, ["k"], "p", block=7).collect()}
-    for key in ("hot", "cold"):
-        mine = sorted(p for k, p in data if k == key)
-        assert [got[key, p] for p in mine] == list(range(1, len(mine) + 1))
+    data = [(k, rnd.choice([None, 3, 10**15, *range(40)]), i % 50) for k, n in (("hot", 600), ("cold", 4), (None, 30)) for i in range(n)]
+    data += data[:20]
+    df = spark.createDataFrame(data, "k string, p long, size long").withColumn("path", F.expr("array(p, size)"))
+    for order in (["p"], ["path"], ["p", "size"]):
+        for n in (1, 5, 64, 5000):
+            got = segments.number_rows(df, ["k"], order, n_splitters=n, size="size").collect()
+            for key in ("hot", "cold", None):
+                mine = sorted((r for r in got if r.k == key), key=lambda r: r.seg_no)
+                assert [r.seg_no for r in mine] == list(range(1, sum(k == key for k, _, _ in data) + 1))
+                placed = [tuple((v is not None, v) for v in ((r.p, r.size) if order != ["p"] else (r.p,))) for r in mine]
+                assert placed == sorted(placed)
+                assert [r.before for r in mine] == [sum(x.size for x in mine[:i]) for i in range(len(mine))]
+    assert segments.number_rows(df.where("false"), ["k"], "p").collect() == []
+
+
+def test_blocks_of_a_hot_group_are_even(spark):
+    """A third of all rows at one position of one group is still many blocks."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("p"),
+        F.col("id").alias("row"),
+    )
+    place = F.struct("p", F.xxhash64("k", "p", "row").alias("_tie"))
+    cuts = segments.splitters(df, place, F.xxhash64("row"))
+    held = df.withColumn("cuts", cuts.scalar())
+    blocks = held.withColumn("b", segments._block_of(place, F.col("cuts"))).where("k = 0").groupBy("b").count()
+    assert blocks.agg(F.max("count")).first()[0] < 10_000 / 20 and blocks.count() > 200
 
 
 def test_missing_works_are_counted(spark, rows):
@@ -120,8 +149,8 @@ def test_no_target_table_makes_all_units_targets(spark):
 
 def test_draft_prompt_parts(spark, rows):
     units = spark.createDataFrame([(YD, 94, True), (YD, 1200, True)], UNITS)
-    for block in (1, 4096):
-        contexts = assemble_context(units, works_table(spark), rows, block=block)
+    for limit in (1, 1 << 20):
+        contexts = assemble_context(units, works_table(spark), rows, part_bytes=limit)
         made = prompts.draft_prompts(contexts, F.lit("נושאי כלים")).where("unit = 94")
         text = documents(made)[(YD, 94)]
         assert text.count('צ"ד') == 2 and "נושאי כלים.\n" in text
@@ -130,32 +159,38 @@ def test_draft_prompt_parts(spark, rows):
     assert bad.text is None and bad.error
 
 
+REQUESTS = "id int, target_spec string, context_spec string, target_limit int"
+
+
 def test_relations_prompt(spark):
     drafts = spark.createDataFrame(
-        [(YD, 94, "d94"), (YD, 95, "d95"), (YD, 97, "d97")],
+        [(YD, 94, "d94"), (YD, 95, "d95"), (YD, 97, "d97" * 50), (YD, 99, "d99")],
         "corpus string, unit int, text string",
     )
-    requests = spark.createDataFrame(
-        [(1, YD, [94, 95, 96, 97]), (2, YD, [200])], "id int, corpus string, context array<int>"
-    )
-    whole = {r.id: r.text for r in prompts.relations_prompts(requests, drafts, ["id"]).collect()}
-    body = "".join(f"=== סימן {u} ===\nd{u}\n\n" for u in (94, 95, 97))
-    assert body in whole[1] and whole[1].startswith("להלן") and whole[1].endswith("ההנחיות.")
-    assert "===" not in whole[2]
-    parts = prompts.relations_prompts(requests, drafts, ["id"], part=1).where("id = 1").collect()
-    # unit 96 has no draft, so there is no third part
-    assert sorted(r.part_no for r in parts) == [1, 2, 4]
-    assert "".join(r.text for r in sorted(parts, key=lambda r: r.part_no)) == whole[1]
+    asked = [(1, "94-99", None, None), (2, "200", None, None), (3, "1-1000000000000", None, None), (4, "?", None, None)]
+    requests = plan_requests(spark.createDataFrame(asked, REQUESTS)).withColumn("corpus", F.lit(YD))
+    rows = prompts.relations_prompts(requests, drafts, ["id"]).collect()
+    whole = {r.id: r.text for r in rows}
+    assert len(rows) == 3 and all((r.part_no, r.n_parts) == (1, 1) for r in rows)
+    entries = [f"=== סימן {u} ===\n{t}\n\n" for u, t in ((94, "d94"), (95, "d95"), (97, "d97" * 50), (99, "d99"))]
+    assert "".join(entries) in whole[1] and whole[1].startswith("להלן") and whole[1].endswith("ההנחיות.")
+    assert whole[3] == whole[1] and "===" not in whole[2]
+    for limit, n in ((1, 4), (len(entries[0].encode()) + 1, 3), (100_000, 1)):
+        parts = prompts.relations_prompts(requests, drafts, ["id"], limit).where("id = 1").collect()
+        parts.sort(key=lambda r: r.part_no)
+        assert [(r.part_no, r.n_parts) for r in parts] == [(k + 1, n) for k in range(n)]
+        assert "".join(r.text for r in parts) == whole[1]
 
 
 def test_polish_targets_need_a_draft(spark):
-    targets = spark.createDataFrame(
-        [("r1", YD, 1), ("r2", YD, 1), ("r1", YD, 2)], "range_key string, corpus string, unit int"
-    )
-    drafts = spark.createDataFrame([(YD, 1, "d")], "corpus string, unit int, text string")
-    relations = spark.createDataFrame([("r1", "rel")], "range_key string, text string")
+    asked = [(1, "1-3", None, None), (2, "1-1000000000000", None, 2), (3, "2", None, None)]
+    requests = plan_requests(spark.createDataFrame(asked, REQUESTS)).withColumn("corpus", F.lit(YD))
+    drafts = spark.createDataFrame([(YD, 1, "d"), (YD, 3, "e")], "corpus string, unit int, text string")
+    relations = spark.createDataFrame([("1-3", "rel")], "range_key string, text string")
     got = {
-        r.range_key: r.text
-        for r in prompts.polish_prompts(targets, drafts, relations, ["range_key"]).collect()
+        (r.id, r.unit): r.text
+        for r in prompts.polish_prompts(requests, drafts, relations, ["range_key"]).collect()
     }
-    assert set(got) == {"r1", "r2"} and got["r2"] == "d" and "rel" in got["r1"]
+    assert set(got) == {(1, 1), (1, 3), (2, 1)} and got[(2, 1)] == "d" and "rel" in got[(1, 3)]
+    missing = missing_units(requests, "limited", drafts, ["corpus"], ["id"]).collect()
+    assert sorted((r.id, r.lo, r.hi) for r in missing) == [(1, 2, 2), (2, 2, 2), (3, 2, 2)]

@@ -1,4 +1,5 @@
 import html
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,42 +8,65 @@ from corpusweave.operators import units
 
 from corpusweave.functions import numerals, payloads, ranges, refs, templates, text
 
-GOOD = {
-    "94": [94],
-    " 100 ": [100],
-    "94,95,96": [94, 95, 96],
-    "94, 100, 102": [94, 100, 102],
-    "1-5": [1, 2, 3, 4, 5],
-    "10-10": [10],
-    "94,95-97,100, 102-104": [94, 95, 96, 97, 100, 102, 103, 104],
-    "100,99,99-101": [99, 100, 101],
-    "5-9,1-7": [1, 2, 3, 4, 5, 6, 7, 8, 9],
-}
-BAD = [
-    None, "", "  ", "94,95a,96", "94;95;96", "94+95", "94-", "94-95-96", "100-94", "0", "-5",
-    "10,-2,15", "94,,95", "94,", "94\n", "94\t,95", "9" * 30, "-", ",",
-]
+RANDOM = random.Random(4)
+
+
+def some_parts():
+    """Up to six parts (low, high) that may repeat, touch and overlap."""
+    lows = [RANDOM.randint(1, 400) for _ in range(RANDOM.randint(1, 6))]
+    return [(low, low + RANDOM.choice([0, 0, 1, 7, 30])) for low in lows]
+
+
+def written(parts):
+    """A spec of the parts, spaces thrown in, single units plain or as a range of one."""
+    shown = [f"{a}" if a == b and RANDOM.random() < 0.7 else f"{a}-{b}" for a, b in parts]
+    return "".join(c + " " * (RANDOM.random() < 0.1) for c in ",".join(shown))
+
+
+PARTS = [some_parts() for _ in range(300)]
+SPECS = [written(p) for p in PARTS]
+
+
+def listed(intervals):
+    return None if intervals is None else [u for i in intervals for u in range(i.lo, i.hi + 1)]
+
 
+def intervals_of(x):
+    return ranges.intervals_of(x, ranges.spec_error(x).isNull())
 
-def test_good_specs(column):
-    assert column(list(GOOD), ranges.spec_units) == list(GOOD.values())
-    assert column(list(GOOD), ranges.spec_error) == [None] * len(GOOD)
 
+def test_specs_are_the_units_of_their_parts(column):
+    got = column(SPECS, intervals_of)
+    assert [listed(i) for i in got] == [sorted({u for a, b in p for u in range(a, b + 1)}) for p in PARTS]
+    assert all(i.hi + 1 < j.lo for row in got for i, j in zip(row, row[1:]))
+    assert column(SPECS, ranges.spec_error) == [None] * len(SPECS)
 
-def test_bad_specs(column):
-    assert all(column(BAD, ranges.spec_error))
-    assert column(BAD, ranges.spec_units) == [None] * len(BAD)
 
+def test_interval_text_is_a_spec_of_the_same_units(column):
+    shown = column(SPECS, lambda x: ranges.interval_text(ranges.spec_intervals(x)))
+    assert column(shown, intervals_of) == column(SPECS, intervals_of)
+    assert column(shown, lambda x: ranges.interval_text(ranges.spec_intervals(x))) == shown
 
-def test_range_expansion_is_idempotent(column):
-    again = [",".join(map(str, units)) for units in GOOD.values()]
-    assert column(again, ranges.spec_units) == list(GOOD.values())
+
+@pytest.mark.parametrize(
+    "spoil",
+    [
+        lambda spec: spec + RANDOM.choice("abz;:+._/*\t\n\u0661\u00a0"),
+        lambda spec: RANDOM.choice([spec + ",", "," + spec, spec + ",," + spec, spec + ", ,1"]),
+        lambda spec: spec + RANDOM.choice([",0", ",0-2", ",00"]),
+        lambda spec: spec + f",{RANDOM.randint(60, 90)}-{RANDOM.randint(1, 59)}",
+        lambda spec: spec + RANDOM.choice([",-", ",2-", ",-2", ",1-2-3", ",1--3"]),
+        lambda spec: spec + "," + "8" * RANDOM.randint(14, 60),
+    ],
+)
+def test_one_bad_part_spoils_a_spec(column, spoil):
+    bad = [spoil(spec) for spec in SPECS[:40]]
+    assert all(column(bad, ranges.spec_error))
+    assert column(bad, intervals_of) == [None] * len(bad)
 
 
-def test_long_range_has_no_array_but_no_error(column):
-    spec = f"1-{ranges.MAX_ARRAY_UNITS + 1}"
-    assert column([spec], ranges.spec_error) == [None]
-    assert column([spec], ranges.spec_units) == [None]
+def test_nothing_is_no_spec(column):
+    assert column([None, "", " ", "\t \n"], ranges.spec_error) == ["empty spec"] * 4
 
 
 def test_huge_bounds_are_errors_of_their_row(spark, column):
@@ -51,21 +75,58 @@ def test_huge_bounds_are_errors_of_their_row(spark, column):
     specs = spark.createDataFrame([(s,) for s in huge], "spec string")
     assert [r.unit for r in units.expand_ranges(specs).collect()] == [7]
     last = f"{ranges.MAX_UNIT - 1}-{ranges.MAX_UNIT}"
-    assert column([last], ranges.spec_units) == [[ranges.MAX_UNIT - 1, ranges.MAX_UNIT]]
-
-
-def test_request_lists(spark):
-    df = spark.createDataFrame([([94, 95], [93, 94, 96])], "t array<long>, c array<long>")
-    t, c = F.col("t"), F.col("c")
-    row = df.select(
-        ranges.with_context(c, t).alias("both"),
-        ranges.with_context(F.lit(None).cast("array<long>"), t).alias("alone"),
-        ranges.limit_targets(t, F.lit(1)).alias("one"),
-        ranges.limit_targets(t, F.lit(0)).alias("none"),
-        ranges.range_key(t).alias("key"),
-    ).first()
-    assert row.both == [93, 94, 95, 96] and row.alone == [94, 95]
-    assert row.one == [94] and row.none is None and row.key == "94_95"
+    assert listed(column([last], intervals_of)[0]) == [ranges.MAX_UNIT - 1, ranges.MAX_UNIT]
+
+
+SETS = ["4", "1-3", "2,4-9", "1-20", "10,12,14", "3-5,9-11,30", None]
+
+
+def test_interval_algebra(spark):
+    """Set operations against Python's sets, for every pair."""
+    pairs = [(a, b) for a in SETS[:-1] for b in SETS]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = intervals_of(F.col("a")), intervals_of(F.col("b"))
+    n = F.lit(4)
+    rows = df.select(
+        "a", "b",
+        ranges.united(a, b).alias("both"),
+        ranges.without(a, b).alias("less"),
+        ranges.with_context(b, a).alias("context"),
+        ranges.first_units(a, n).alias("first"),
+        ranges.first_units(a, F.lit(None).cast("int")).alias("all"),
+        ranges.first_units(a, F.lit(0)).alias("none"),
+        ranges.nth_unit(a, n).alias("fourth"),
+        ranges.count_units(a).alias("n"),
+        ranges.range_name(a).alias("name"),
+        ranges.range_key(a).alias("key"),
+        ranges.name_intervals(ranges.range_name(a)).alias("named"),
+    ).collect()
+    for r in rows:
+        x, y = GOOD_SETS[r.a], GOOD_SETS.get(r.b, [])
+        assert listed(r.both) == sorted({*x, *y}) == listed(r.context)
+        assert listed(r.less) == sorted({*x} - {*y})
+        for got in (r.both, r.less, r.first):
+            assert [i.before for i in got] == [sum(j.hi - j.lo + 1 for j in got[:k]) for k in range(len(got))]
+        assert listed(r.first) == x[:4] and listed(r.all) == x and r.none is None
+        assert r.fourth == (x[3] if len(x) > 3 else None) and r.n == len(x)
+        assert r.name == "_".join(map(str, x)) and listed(r.named) == x
+    assert {r.key for r in rows} == {"4", "1-3", "2_4-9", "1-20", "10_12_14", "3-5_9-11_30"}
+
+
+GOOD_SETS = {
+    "4": [4], "1-3": [1, 2, 3], "2,4-9": [2, 4, 5, 6, 7, 8, 9], "1-20": list(range(1, 21)),
+    "10,12,14": [10, 12, 14], "3-5,9-11,30": [3, 4, 5, 9, 10, 11, 30],
+}
+
+
+def test_long_sets_have_no_name_but_a_key(column):
+    long = [f"1-{10**12}", "1-127", "1000000-1000040", "5-60"]
+    assert column(long, lambda x: ranges.range_key(intervals_of(x))) == long
+    names = column(long, lambda x: ranges.range_name(intervals_of(x)))
+    assert names[:3] == [None] * 3 and names[3].startswith("5_6_7") and names[3].endswith("_60")
+    assert column(["5_x", "", "0", "5_", "7_7_8", None], lambda x: ranges.interval_text(ranges.name_intervals(x))) == [
+        None, None, None, None, "7-8", None,
+    ]
 
 
 @pytest.mark.parametrize(
@@ -96,7 +157,7 @@ def test_section_tokens(column):
 
 def test_clean_markup(column):
     raw = [
-        '<b>שלום</b> <i data-commentator="test">עולם</i> &quot;ציטוט&quot;',
+        '<p class="x">one <em lang=he>אחת</em>&nbsp;<sup>1</sup> &quot;two&quot;</p>',
         "&lt;b&gt;",
         "a<br>b",
         "x  y\x1cz\n",
@@ -105,7 +166,7 @@ def test_clean_markup(column):
         "<a\nhref='x'>",
     ]
     assert column(raw, text.clean_markup) == [
-        'שלום עולם "ציטוט"',
+        'one אחת 1 "two"',
         "<b>",
         "ab",
         "x y z",
