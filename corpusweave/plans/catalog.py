@@ -335,34 +335,59 @@ def polish_missing(spark: SparkSession, sf: str) -> DataFrame:
     ).select("request_id", "lo", "hi", "n_units")
 
 
-def polish_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies of direct polish calls, written as JSON and read back."""
+def relations_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations that count for each request: a file it names itself, else the cached one."""
+    customer = table(spark, sf, "customer")
+    given = customer.where("c_nationkey = 3").select(
+        F.col("c_custkey").alias("request_id"),
+        F.when(F.col("c_acctbal") >= 1000, F.concat("c_name", F.lit(" by hand"))).alias("text"),
+    )
+    planned = _requests(spark, sf).where(F.col("error").isNull())
+    return units.known_relations(
+        planned, given, inputs.customer_relations(customer), ["range_key"]
+    ).select("request_id", "relations_origin", "relations")
+
+
+_BODY = (
+    "struct<model: string, messages: array<struct<role: string, content: string>>,"
+    "temperature: double, service_tier: string>"
+)
+
+
+def _direct_calls(spark: SparkSession, sf: str, sent: DataFrame, keys: list[str], instruction: str, temperature: float) -> DataFrame:
+    """Bodies of direct calls for ``sent(keys…, text)``, written as JSON and read back."""
     asked = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("request_id"), "c_mktsegment"
     )
     model = F.when(F.col("c_mktsegment") == "MACHINERY", "o3").otherwise("gpt-5.2")
     tier = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "").otherwise("flex")
-    body = prompts.chat_body(
-        model, F.lit("speak"), F.col("text"), F.lit(prompts.POLISH_TEMPERATURE), tier
+    body = prompts.chat_body(model, F.lit(instruction), F.col("text"), F.lit(temperature), tier)
+    return (
+        sent.join(asked, "request_id")
+        .select(*keys, F.from_json(F.to_json(body), _BODY).alias("b"))
+        .select(
+            *keys,
+            "b.model",
+            F.get("b.messages", F.lit(0)).role.alias("first_role"),
+            F.get("b.messages", F.lit(1)).content.alias("prompt"),
+            "b.temperature",
+            "b.service_tier",
+        )
     )
-    schema = (
-        "struct<model: string, messages: array<struct<role: string, content: string>>,"
-        "temperature: double, service_tier: string>"
-    )
-    sent = prompt_polish(spark, sf).join(asked, "request_id")
-    return sent.select(
-        "request_id", "unit", F.from_json(F.to_json(body), schema).alias("b")
-    ).select(
-        "request_id",
-        "unit",
-        "b.model",
-        F.get("b.messages", F.lit(0)).role.alias("first_role"),
-        F.get("b.messages", F.lit(1)).content.alias("prompt"),
-        "b.temperature",
-        "b.service_tier",
+
+
+def polish_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return _direct_calls(
+        spark, sf, prompt_polish(spark, sf), ["request_id", "unit"], "speak", prompts.POLISH_TEMPERATURE
     )
 
 
+def relations_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One call per request: the parts of its relations prompt in order."""
+    whole = prompts.whole_prompts(prompt_relations(spark, sf))
+    return _direct_calls(spark, sf, whole, ["request_id"], "relate", 0.3)
+
+
 # --- links, blocks, audit ---------------------------------------------------
 
 
@@ -767,6 +792,8 @@ QUERIES = {
         prompt_polish,
         polish_missing,
         polish_requests,
+        relations_pick,
+        relations_requests,
         batch_requests,
         batch_results,
         batch_join,

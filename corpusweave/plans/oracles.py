@@ -591,6 +591,26 @@ SELECT c.c_custkey AS request_id, doc_id AS unit,
   CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN 'flex' END AS service_tier
 FROM requests c JOIN documents ON doc_id BETWEEN lo AND target_hi
 LEFT JOIN relations USING (c_custkey)""",
+    "relations_pick": f"""WITH {_CUSTOMER_RELATIONS}
+SELECT c.c_custkey AS request_id,
+  CASE WHEN c_nationkey = 3 THEN 'given' WHEN relations IS NOT NULL THEN 'cached' ELSE 'none' END
+    AS relations_origin,
+  CASE WHEN c_nationkey = 3 THEN CASE WHEN c_acctbal >= 1000 THEN c_name || ' by hand' ELSE '' END
+    ELSE coalesce(relations, '') END AS relations
+FROM requests r JOIN customer c ON c.c_custkey = r.c_custkey
+LEFT JOIN relations ON relations.c_custkey = r.c_custkey""",
+    "relations_requests": f"""WITH {_CUSTOMER_RELATIONS},
+bodies AS (
+  SELECT c_custkey, string_agg('=== סימן ' || doc_id || ' ===' || chr(10) || text
+    || repeat(chr(10), 2), '' ORDER BY doc_id) AS body
+  FROM requests JOIN documents ON doc_id BETWEEN lo AND context_hi GROUP BY 1)
+SELECT c_custkey AS request_id,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'o3' ELSE 'gpt-5.2' END AS model,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'developer' ELSE 'system' END AS first_role,
+  {_lit(templates.RELATIONS_PREAMBLE)} || coalesce(body, '') || {_lit(templates.RELATIONS_CLOSING)} AS prompt,
+  CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(0.3 AS DOUBLE) END AS temperature,
+  CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN 'flex' END AS service_tier
+FROM requests LEFT JOIN bodies USING (c_custkey)""",
     "batch_requests": f"""WITH {_CONTEXT}
 SELECT unit, CASE WHEN NOT ok THEN 'unit has no numeral' END AS error,
   CASE WHEN ok THEN 'siman_' || unit || '_generation' END AS custom_id,
