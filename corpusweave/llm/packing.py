@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ DEPTH = 3
 END_ID = 2
 # words whose ids a worker remembers; at the limit it starts afresh
 MEMORY = 500_000
+# bytes of text whose words are made unique together
+TEXT_BYTES = 4 << 20
 PART_ROWS = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -63,25 +66,57 @@ class WordIds:
             self.known[word] = whole[4 * at : 4 * end]
             at = end + 1
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _ids(self, stems: list[str]) -> list[bytes]:
         known = self.known
-        new = {w for w in words if w not in known}
+        new = [w for w in stems if w not in known]
         if new:
             if len(known) > MEMORY:
                 known.clear()
-                known[""] = b""
-                new = set(words) - {""}
-            base = {}
-            for word in new:
-                stem, stop = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].lower()[-1:].isalpha() else (word, "")
-                base[word] = (stem.lower() if stem.isascii() else stem, stop)
-            wanted = {part for pair in base.values() for part in pair if part not in known}
-            if wanted:
-                self._look_up(list(wanted))
-            for word, (stem, stop) in base.items():
-                known[word] = known[stem] + known[stop]
-        return b"".join(map(known.__getitem__, words))
+                known.update({"": b""})
+                new = [w for w in stems if w]
+            self._look_up(new)
+        return [known[w] for w in stems]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row as bytes, and where each text's begin (one end more).
+
+        Arrow splits words, makes them and then their stems unique, and puts
+        all back in order; only different stems are looked at one by one.
+        """
+        compute = pa.compute
+        plain = compute.fill_null(texts, "")
+        for space in "\n\t\r":
+            plain = compute.replace_substring(plain, space, " ")
+        lists = compute.split_pattern(plain, " ")
+        words = lists.flatten().dictionary_encode()
+        lower = compute.ascii_lower(words.dictionary)
+        # the one letter that lower-cases to a letter and a mark keeps its stop
+        stops = [compute.match_substring_regex(lower, rf"[^\P{{L}}\x{{130}}]{stop}$") for stop in ("\\.", ",")]
+        ends = compute.or_(*stops)
+        stems = compute.if_else(ends, compute.utf8_slice_codeunits(lower, 0, -1), lower).dictionary_encode()
+        stem_ids = pa.array(self._ids(stems.dictionary.to_pylist()), pa.large_binary())
+        stop_ids = pa.array(self._ids(["", ".", ","]), pa.large_binary())
+        which = compute.add(*[compute.multiply(stop.cast(pa.int8()), n) for n, stop in enumerate(stops, 1)])
+        ids = compute.binary_join_element_wise(stem_ids.take(stems.indices), stop_ids.take(which), pa.scalar(b"", pa.large_binary()))
+        whole = ids.take(words.indices)
+        begins = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        data = whole.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        return data, begins[at - at[0]]
+
+
+def _slices(texts: pa.Array, most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` bytes, or of one text."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy()
+    start = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
 def token_pieces(
@@ -104,15 +139,17 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for part in (b.slice(i, k - i) for b in batches for i, k in _slices(b.column(1))):
             rows = []
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(words.as_py() or "") + end
+            data, begins = encode(part.column(1))
+            view = memoryview(data)
+            for doc, begin, stop in zip(part.column(0).to_pylist(), begins.tolist(), begins[1:].tolist()):
+                ids = bytes(view[begin:stop]) + end
                 n = len(ids) // 4
                 for at in range(0, n, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    row = [doc, at, len(part) // 4, zlib.crc32(part), n]
-                    rows.append(row + [np.frombuffer(part, "<i4")] if with_ids else row)
+                    piece = ids[4 * at : 4 * (at + window)]
+                    row = [doc, at, len(piece) // 4, zlib.crc32(piece), n]
+                    rows.append(row + [np.frombuffer(piece, "<i4")] if with_ids else row)
             names = [f.split()[0] for f in schema.split(", ")]
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
             columns = zip(*rows) if rows else [[] for _ in names]
