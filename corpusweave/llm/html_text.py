@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from corpusweave.llm.common import written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
@@ -50,41 +55,65 @@ CONTENT = frozenset("article body content entry main page post story text".split
 WEAK, STRONG = 0.25, 0.05
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    # a quote opens a value only right after its "="
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|$)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 READ = frozenset("class id role hidden".split())
 NAME_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
-# parts that the pages of a host are dealt to when they meet its winner
-PARTS = 64
+# winners of hosts are broadcast while they are so many at most, some 16 MB
+MOST_WINNERS = 200_000
+# beyond, pages of a host that meet its winner in one part
+PART_PAGES = 20_000
+# elements that end one of ``CLOSED_BY``; running text, which only a name of its own marks
+ENDERS = frozenset().union(*CLOSED_BY.values())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 
 
-@dataclass
+@dataclass(slots=True)
+class Path:
+    """The steps to an element: a link to the path around it, and a hash that names all of it."""
+
+    key: int
+    length: int
+    step: str
+
+    def to(self, step: str) -> Path:
+        return Path(_hash(self.key, step), self.length + len(step) + 1, step)
+
+
+@lru_cache(100_000)
+def _hash(key: int, step: str) -> int:
+    found = hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=8, key=key.to_bytes(8))
+    return int.from_bytes(found.digest())
+
+
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: Path
     skipped: bool
-    container: Container | None
+    nearest: Container
     mark: Mark | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Container:
-    path: str
+    path: Path
     up: Container | None
     score: float = 0.0
-    blocks: list[int] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class Mark:
     """A marked element: what its text counts, the container and the mark around it."""
 
     weight: float
     outer: Container
     up: Mark | None
+    size: int = 0
 
 
 @dataclass
@@ -97,6 +126,7 @@ class Page:
     marks: list[Mark | None] = field(default_factory=list)
     lines: list[int] = field(default_factory=list)
     containers: list[Container] = field(default_factory=list)
+    all_marks: list[Mark] = field(default_factory=list)
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -113,7 +143,10 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n for n in names if n)])
 
 
-def _is_skipped(tag: str, attributes: dict[str, str]) -> bool:
+def _is_skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    # the header of an article is its title
+    if tag == "header" and in_article:
+        return False
     return tag in SKIPPED or "hidden" in attributes or attributes.get("role", "").lower() in ROLES
 
 
@@ -124,7 +157,7 @@ def _weight(tag: str, attributes: dict[str, str]) -> float:
         return 1.0
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
     words = {w for name in names for w in NAME_WORD.findall(name)}
-    if not words & BOILERPLATE:
+    if not words & BOILERPLATE or tag in RUNNING and not BOILERPLATE.issuperset(names):
         return 1.0
     return STRONG if BOILERPLATE.intersection(names) and not words & CONTENT else WEAK
 
@@ -138,9 +171,10 @@ def parse(source: str | None) -> Page:
     marked ones do: what it counts is lowered, and the mark stays with the block.
     """
     text, page = source or "", Page()
-    root = Container("", None)
+    root = Container(Path(0, 0, ""), None)
     page.containers.append(root)
-    stack = [Element("", "", False, root)]
+    stack = [Element("", root.path, False, root)]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = [0, 0]  # characters in links, in all
 
@@ -151,9 +185,7 @@ def parse(source: str | None) -> Page:
         block = SPACE.sub(" ", html.unescape("".join(pieces)))
         size = len(block.strip())
         if size or block and not ends:
-            owner = next(e.container for e in reversed(stack) if e.container)
-            owner.blocks.append(len(page.blocks))
-            mark = stack[-1].mark
+            owner, mark = stack[-1].nearest, stack[-1].mark
             weight = mark.weight if mark else 1.0
             owner.score += weight * size * (1 - linked[0] / max(linked[1], 1))
             page.blocks.append(block)
@@ -177,6 +209,7 @@ def parse(source: str | None) -> Page:
             flush()
         elif stack[-1].mark is not stack[depth - 1].mark:
             flush(ends=False)
+        opened.subtract(e.tag for e in stack[depth:])
         del stack[depth:]
 
     at = 0
@@ -192,40 +225,41 @@ def parse(source: str | None) -> Page:
                 add(token.group()[9:-3])
             continue
         if token.group(1):
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                close(depth)
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "br":
             add(" ")
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[i].tag, ()):
-                close(i)
-                break
-            if stack[i].tag in ("table", "ul", "ol", "dl") or stack[i].tag in CONTAINERS:
-                break
+        if tag in ENDERS and any(opened[t] > 0 for t, enders in CLOSED_BY.items() if tag in enders):
+            for i in range(len(stack) - 1, 0, -1):
+                if tag in CLOSED_BY.get(stack[i].tag, ()):
+                    close(i)
+                    break
+                if stack[i].tag in ("table", "ul", "ol", "dl") or stack[i].tag in CONTAINERS:
+                    break
         if tag in BLOCKS:
             flush()
         if tag in VOID:
             continue
         attributes = _attributes(token.group(3)) if token.group(3) else {}
         top = stack[-1]
-        skipped = top.skipped or _is_skipped(tag, attributes)
-        path, container, mark = top.path, None, top.mark
+        in_article = opened["article"] > 0 or opened["main"] > 0
+        skipped = top.skipped or _is_skipped(tag, attributes, in_article)
+        path, nearest, mark = top.path, top.nearest, top.mark
         weight = 1.0 if skipped or not attributes else _weight(tag, attributes)
         if weight < 1:
             flush(ends=tag in BLOCKS)
-            outer = next(e.container for e in reversed(stack) if e.container)
-            mark = Mark(min(weight, mark.weight) if mark else weight, outer, mark)
+            mark = Mark(min(weight, mark.weight) if mark else weight, nearest, mark)
+            page.all_marks.append(mark)
         if tag in BLOCKS:
-            path = f"{top.path}/{_step(tag, attributes)}{'' if weight == 1 else '?' if weight == WEAK else '!'}"
+            path = top.path.to(f"{_step(tag, attributes)}{'' if weight == 1 else '?' if weight == WEAK else '!'}")
         if tag in CONTAINERS and not skipped:
-            up = next(e.container for e in reversed(stack) if e.container)
-            container = Container(path, up)
-            page.containers.append(container)
+            nearest = Container(path, nearest)
+            page.containers.append(nearest)
         if not token.group(3).rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
-            stack.append(Element(tag, path, skipped, container, mark))
+            stack.append(Element(tag, path, skipped, nearest, mark))
+            opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
             at = end.start() if end else len(text)
@@ -234,27 +268,32 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def _totals(page: Page) -> dict[str, float]:
+def _totals(page: Page) -> dict[int, tuple[float, Path]]:
     """Score by path: a container's own blocks, and half of what each one inside it has."""
-    totals: dict[str, float] = {}
-    for c in page.containers:
-        weight, up = 1.0, c
-        while up is not None and c.score:
-            totals[up.path] = totals.get(up.path, 0.0) + weight * c.score
-            weight, up = weight / 2, up.up
+    own = {id(c): c.score for c in page.containers}
+    totals: dict[int, tuple[float, Path]] = {}
+    for c in reversed(page.containers):  # inner ones come later
+        score = own[id(c)]
+        if score:
+            totals[c.path.key] = totals.get(c.path.key, (0.0, c.path))[0] + score, c.path
+            if c.up is not None:
+                own[id(c.up)] += score / 2
     return totals
 
 
-def best_path(page: Page) -> str | None:
+def best_path(page: Page) -> Path | None:
     """The path of the best container: most text of its own, articles before others."""
-    totals = _totals(page)
-    if not totals:
-        return None
-    tag = re.compile(r"/(article|main)[^/]*$")
-    return min(totals, key=lambda p: (-totals[p] * (2 if tag.search(p) else 1), len(p), p))
+    totals = _totals(page).values()
+    tag = re.compile(r"(article|main)[^/]*$")
+
+    def order(found: tuple[float, Path]) -> tuple[float, int, int]:
+        score, path = found
+        return -score * (2 if tag.match(path.step) else 1), path.length, path.key
 
+    return min(totals, key=order)[1] if totals else None
 
-def text_under(page: Page, path: str | None) -> str | None:
+
+def text_under(page: Page, key: int | None) -> str | None:
     """The blocks inside containers of a path, joined by line ends; None if the page has no such.
 
     Marked elements inside them are left out, unless all the text is in such, or half of it
@@ -263,23 +302,30 @@ def text_under(page: Page, path: str | None) -> str | None:
     inside = set()
     there = False
     for c in page.containers:  # outer ones come first
-        if c.path == path or id(c.up) in inside:
+        if c.path.key == key or id(c.up) in inside:
             inside.add(id(c))
-            there = there or c.path == path
+            there = there or c.path.key == key
     if not there:
         return None
-    blocks: list[tuple[int, str, list[Mark]]] = []
-    sizes: dict[int, int] = {}
+    counts = [m for m in page.all_marks if id(m.outer) in inside]
+    for m in counts:
+        m.size = 0
+    blocks: list[tuple[int, str, Mark | None]] = []
     for line, block, owner, mark in zip(page.lines, page.blocks, page.owners, page.marks):
         if id(owner) in inside:
-            marks = []
-            while mark is not None and id(mark.outer) in inside:
-                marks.append(mark)
-                sizes[id(mark)] = sizes.get(id(mark), 0) + len(block.strip())
-                mark = mark.up
-            blocks.append((line, block, marks))
+            mark = mark if mark is not None and id(mark.outer) in inside else None
+            if mark:
+                mark.size += len(block.strip())
+            blocks.append((line, block, mark))
+    held = {id(m) for m in counts}
+    for m in reversed(counts):  # inner ones come later
+        if id(m.up) in held:
+            m.up.size += m.size
     half = sum(len(b.strip()) for _, b, _ in blocks) / 2
-    kept = [x for x in blocks if all(m.weight == WEAK and sizes[id(m)] >= half for m in x[2])]
+    good: dict[int, bool] = {}
+    for m in counts:  # outer ones come first
+        good[id(m)] = m.weight == WEAK and m.size >= half and good.get(id(m.up), True)
+    kept = [x for x in blocks if x[2] is None or good[id(x[2])]]
     return _joined(kept) or _joined(blocks)
 
 
@@ -290,10 +336,21 @@ def _joined(blocks: list[tuple[int, str, list[Mark]]]) -> str:
     return "\n".join(text for x in lines.values() if (text := SPACE.sub(" ", x).strip()))
 
 
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths = [best_path(parse(h.as_py())) for h in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([p and _signed(p.key) for p in paths], pa.int64()),
+                pa.array([p and p.length for p in paths], pa.int64()),
+            ],
+            ["host", "path", "length"],
+        )
 
 
 def _extract(source: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +359,10 @@ def _extract(source: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         texts = []
         for html_, winner in zip(batch.column(0).field(source), batch.column(1).to_pylist()):
             page = parse(html_.as_py())
-            text = text_under(page, winner)
-            texts.append(text or text_under(page, best_path(page)) or "")
+            text = text_under(page, winner if winner is None else winner % (1 << 64))
+            if not text and (own := best_path(page)):
+                text = text_under(page, own.key)
+            texts.append(text or "")
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(texts, pa.string())], ["record", "main_text"]
         )
@@ -318,23 +377,36 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     shorter path.  Second pass: each page gives the text under its host's
     winning path or, where it has none, under its own best.
 
-    Returns ``record`` (a struct of all columns) and ``main_text``: blocks in
-    page order, character references decoded, white space single, one line
-    end between blocks.  Empty for null or empty pages; pages without a host
-    vote together.  Repeated rows vote and return as often as they come.
+    Returns ``record`` (a struct of all columns, whatever their names) and
+    ``main_text``: blocks in page order, character references decoded, white
+    space single, one line end between blocks.  Empty for null or empty pages;
+    pages without a host vote together.  Repeated rows vote and return as often
+    as they come.  A page of any length or depth takes time and memory in
+    proportion to it.
+
+    Pages are not shuffled while the winners, counted first, are few enough to
+    be broadcast (a row of some 80 bytes per host).  Beyond that each host's
+    pages are dealt to as many parts as their number asks for.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#]*)", 1))
-    votes = pages.select(host.alias("host"), F.col(source)).mapInArrow(_vote, "host string, path string")
-    counts = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct("n", (-F.length("path")).alias("short"), "path")
-    winners = counts.groupBy("host").agg(F.max(order).alias("best")).select("host", "best.path")
+    votes = pages.select(host.alias("host"), F.col(source)).mapInArrow(
+        _vote, "host string, path long, length long"
+    )
+    counts = votes.where("path is not null").groupBy("host", "path", "length").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct("n", (-F.col("length")).alias("short"), "path")
+    winners = counts.groupBy("host").agg(F.max(order).alias("best"), F.sum("n").alias("n"))
+    winners = written(winners.select("host", "best.path", "n"))
     rows = pages.select(F.struct("*").alias("record"), host.alias("host"))
-    record = rows.schema["record"].dataType.simpleString()
-    # a hot host's pages are dealt out: every part of a host meets a copy of its winner
-    page = F.col("record")[source] if "map<" in record else F.col("record")
-    part = F.pmod(F.xxhash64(page), F.lit(PARTS)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
-    joined = rows.withColumn("part", part).join(winners.select("*", parts), ["host", "part"], "left")
-    # the page itself is shuffled once, inside its record
+    schema = StructType([rows.schema["record"]]).add("main_text", "string")
+    size = winners.agg(F.count(F.lit(1)).alias("hosts"), F.max(F.length("host")).alias("longest")).first()
+    if size.hosts <= MOST_WINNERS and (size.longest or 0) <= 1024:
+        joined = rows.join(F.broadcast(winners.drop("n")), "host", "left")
+    else:
+        # a hot host's pages are dealt out: every part of a host meets a copy of its winner
+        parts = F.ceil(F.col("n") / PART_PAGES).cast("int")
+        most = winners.agg(F.max(parts)).first()[0]
+        part = F.pmod(F.xxhash64(F.col("record").getField(source)), F.lit(most)).cast("int")
+        copies = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("part"))
+        joined = rows.withColumn("part", part).join(copies, ["host", "part"], "left")
     extract = partial(_extract, pages.columns.index(source))
-    return joined.select("record", "path").mapInArrow(extract, f"record {record}, main_text string")
+    return joined.select("record", "path").mapInArrow(extract, schema)
