@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,6 @@ from corpusweave.llm import (
     whitening,
 )
 
-TOKENIZERS = "/opt/tokenizers"
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_random_projection_forest(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,9 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
-    return cut.select("record.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select(
+        "record.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text")
+    )
 
 
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusweave.llm import hashing
 from corpusweave.llm.common import written
@@ -173,12 +174,13 @@ def _union(spans: list[dict]) -> list[list[int]]:
     return merged
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, spans in zip(batch.column(1), batch.column(2)):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             gone, at, kept = _union(spans.as_py() or []), 0, []
+            gone = [(s, e) for s, e in gone if len(data[s:e].split()) >= min_words]
             for s, e in gone:
                 kept.append(data[at:s])
                 at = e
@@ -230,9 +232,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, min_words: int = 0
+) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else.
 
+    With ``min_words`` only stretches (maximal runs of such bytes) of as many words, split
+    ones at their ends included, go.
+
     Texts are their UTF-8 bytes (a null text is empty); strings lie within one
     document, may overlap, and are judged on the input.  Returns a row for
     each row of ``docs``: ``record`` (a struct of all its columns), ``n_bytes``,
@@ -240,13 +247,15 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     remaining bytes and ``kept``, their text less characters that a cut splits.  Documents under ``length`` bytes stay whole, a
     document of which there is a copy (a repeated row included) loses all.
     """
+    columns = [(F.col(f"`{c.replace('`', '``')}`"), kind) for c, kind in docs.dtypes]
+    plain = [F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in columns]
     keyed = docs.select(
-        F.struct("*").alias("record"), F.xxhash64(F.struct("*")).alias("doc"), F.col(text).alias("text")
+        F.struct("*").alias("record"), F.xxhash64(*plain).alias("doc"), F.col(text).alias("text")
     )
     spans = repeated_spans(keyed.select("doc", "text"), length)
     joined = keyed.join(spans, "doc", "left").select("record", "text", "spans")
-    record = joined.schema["record"].dataType.simpleString()
-    return joined.mapInArrow(
-        _cut,
-        f"record {record}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string",
-    )
+    schema = StructType([joined.schema["record"]])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    schema = schema.add("kept_sha256", "string").add("kept", "string")
+    return joined.mapInArrow(partial(_cut, min_words), schema)
