@@ -115,7 +115,7 @@ def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     turns = table(spark, sf, "conversations").where("turn = 0")
-    opening = turns.select((F.col("conv_id") * 3).alias("id"), "text")
+    opening = turns.select((F.col("conv_id") * 97).alias("id"), "text")
     sources = [("primary", pages), ("legacy", docs), ("archive", opening)]
     return segments.fall_back(sources, "id")
 

@@ -373,7 +373,7 @@ GROUP BY conv_id HAVING arg_min(text, turn) <> ''""",
     "source_fallback": f"""
 WITH p AS (SELECT page_id AS id, {_clean('html')} AS t FROM pages),
 d AS (SELECT doc_id AS id, text AS t FROM documents),
-c AS (SELECT conv_id * 3 AS id, text AS t FROM conversations WHERE turn = 0)
+c AS (SELECT conv_id * 97 AS id, text AS t FROM conversations WHERE turn = 0)
 SELECT id,
   CASE WHEN coalesce(p.t, '') <> '' THEN 'primary' WHEN coalesce(d.t, '') <> '' THEN 'legacy'
     WHEN coalesce(c.t, '') <> '' THEN 'archive' ELSE 'none' END AS origin,
@@ -643,9 +643,13 @@ SELECT job, custom_id, told || content AS content,
   CAST(2 * coalesce(f.n, 0) AS BIGINT) AS n_failed
 FROM keys LEFT JOIN asked a USING (custom_id) LEFT JOIN counted c USING (custom_id)
 LEFT JOIN failed f USING (custom_id) LEFT JOIN first_results USING (custom_id), jobs""",
-    "stream_errors": f"""WITH {_ERRORS}
-SELECT error, 4 * count(*) AS n, 4 * count(*) AS n_observed FROM errors
-WHERE error IS NOT NULL GROUP BY 1""",
+    "stream_errors": f"""WITH {_ERRORS},
+lines AS (  -- a broken text may be several lines of a file
+  SELECT error, CASE WHEN error = 'broken line' THEN len(list_filter(
+    string_split('{{"custom_id": ' || text, chr(10)), lambda x: trim(x, ' ') <> '')) ELSE 1 END AS n
+  FROM errors JOIN conversations USING (conv_id, turn) WHERE error IS NOT NULL)
+SELECT error, CAST(4 * sum(n) AS BIGINT) AS n, CAST(4 * sum(n) AS BIGINT) AS n_observed
+FROM lines GROUP BY 1""",
     "batch_join": f"""WITH {_FIRST_RESULT}, jobs(job) AS (VALUES ({_YD}), ({_OC}))
 SELECT coalesce(a.job, r.job) AS job, coalesce(a.custom_id, r.custom_id) AS custom_id, quality, content,
   CASE WHEN a.custom_id IS NULL THEN 'orphan' WHEN r.custom_id IS NULL THEN 'pending'
