@@ -141,30 +141,100 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.where(_distance("x", "y") <= DISTANCE).select("a", "b")
 
 
-def family_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` inside families: enough of them to connect what is linked.
+def ringed(members: DataFrame, percent: int) -> DataFrame:
+    """``family, node, leader, ring``: how far each member's whole set is from its leader's.
+
+    The leader is the smallest node of a family.  Ring 0 is linked to it; ring k
+    is at a distance over k and up to k + 1 times the distance of a link.
+    """
+    leaders = members.groupBy("family").agg(F.min("node").alias("node"))
+    sets = members.join(leaders, ["family", "node"]).select(
+        "family", F.col("node").alias("leader"), F.col("found").alias("led")
+    )
+    common = F.size(F.array_intersect("found", "led")).cast("long")
+    judged = members.join(sets, "family").select(
+        "family", "node", "leader", common.alias("c"), (F.size("found") + F.size("led")).cast("long").alias("n")
+    )
+    # the smallest k for which 100 * (union - common) <= (k + 1) * (100 - percent) * union
+    step = F.expr("n - c") * F.lit(max(100 - percent, 1))
+    rings = F.ceil(F.expr("100 * (n - 2 * c)") / step).cast("int")
+    return judged.select("family", "node", "leader", F.greatest(rings - 1, F.lit(0)).alias("ring"))
+
+
+def block_meetings(rings: DataFrame) -> DataFrame:
+    """``meet, node``: which blocks of members are to be compared.
 
-    ``members(family, node, found)``.  A family is cut into blocks of 128
-    members and every two blocks meet in one task, which compares their whole
-    sets by products of 0/1 matrices over the shingles that several of them
-    share.  It passes on only links that join what it has not joined yet: at
-    most one for each member, never all pairs.
+    Distances of sets are a metric, so two members whose distances to the leader
+    differ by more than a link's can't be linked: members meet those of their
+    own ring and of the next.  Ring 0 is connected already and does not meet
+    itself, so copies are made for members outside of it only.
     """
     numbered = ranked(
-        members.select("family", "node"), ["family"], F.pmod(F.xxhash64("node"), F.lit(SALTS)), "rank"
-    ).withColumn("block", F.floor(F.col("rank") / FAMILY_BLOCK))
-    blocks = numbered.groupBy("family").agg((F.max("block") + 1).alias("blocks"))
-    dealt = (
-        numbered.select("family", "node", "block")
-        .join(blocks, "family")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .join(members.select("node", "found"), "node")
-        .select(
-            F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("meet"),
-            "node",
-            "found",
+        rings.select("family", "ring", "node"), ["family", "ring"], F.pmod(F.xxhash64("node"), F.lit(SALTS)), "rank"
+    ).select("family", "ring", "node", F.floor(F.col("rank") / FAMILY_BLOCK).alias("block"))
+    blocks = numbered.groupBy("family", "ring").agg((F.max("block") + 1).alias("blocks"))
+    side = lambda shift, name: blocks.select(
+        "family", (F.col("ring") + shift).alias("ring"), F.col("blocks").alias(name)
+    )
+    counted = (
+        numbered.join(blocks, ["family", "ring"])
+        .join(side(-1, "outer"), ["family", "ring"], "left")
+        .join(side(1, "inner"), ["family", "ring"], "left")
+    )
+
+    def others(n: Column, ring: Column, swap: bool) -> Column:
+        """Meetings with every block of a ring: (lower ring, its block, the other block)."""
+        every = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+        mine = F.col("block")
+        return F.transform(
+            every,
+            lambda o: F.struct(
+                ring.alias("ring"),
+                (o if swap else mine).cast("long").alias("one"),
+                (mine if swap else o).cast("long").alias("two"),
+                F.lit(True).alias("across"),
+            ),
         )
+
+    own = F.transform(
+        F.when(F.col("ring") > 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(
+            F.array().cast("array<long>")
+        ),
+        lambda o: F.struct(
+            F.col("ring").alias("ring"),
+            F.least(o, F.col("block")).cast("long").alias("one"),
+            F.greatest(o, F.col("block")).cast("long").alias("two"),
+            F.lit(False).alias("across"),
+        ),
+    )
+    ring, zero = F.col("ring"), F.lit(0).cast("long")
+    meetings = F.concat(
+        own,
+        others(F.coalesce("outer", zero), ring, swap=False),
+        others(F.coalesce("inner", zero), ring - 1, swap=True),
     )
+    return counted.select("family", "node", F.explode(meetings).alias("m")).select(
+        F.xxhash64("family", "m.ring", "m.one", "m.two", "m.across").alias("meet"), "node"
+    )
+
+
+def family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` inside families: enough of them to connect what is linked.
+
+    ``members(family, node, found)``.  Every member's whole set is compared with
+    its leader's first.  What is linked to the leader is one already; the rest
+    meets, in blocks of 128, what the leader's distance leaves possible
+    (:func:`block_meetings`).  A task compares whole sets by products of 0/1
+    matrices over the shingles that several of them share, and passes on only
+    links that join what it has not joined yet: at most one for each member,
+    never all pairs.  At worst, when few members are linked to their leader,
+    a family of n members is copied n/128 times.
+    """
+    rings = written(ringed(members, percent))
+    # nodes are different sets, so at 100 percent none are linked
+    stars = rings.where((F.col("ring") == 0) & (F.col("node") != F.col("leader")) & F.lit(percent < 100))
+    stars = stars.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    dealt = block_meetings(rings).join(members.select("node", "found"), "node").select("meet", "node", "found")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meet, nodes, sets = None, [], []
@@ -189,7 +259,7 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
             yield linked()
 
     parts = dealt.repartition(F.col("meet")).sortWithinPartitions("meet")
-    return parts.mapInArrow(compare, "a long, b long")
+    return stars.union(parts.mapInArrow(compare, "a long, b long"))
 
 
 def _spanning(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
