@@ -67,9 +67,16 @@ def reach(z: np.ndarray, bits: int, most: float) -> tuple[np.ndarray, np.ndarray
 
 
 def linked(
-    ids: np.ndarray, z: np.ndarray, members: np.ndarray, block: int, bits: int, cosine: float
+    ids: np.ndarray,
+    x: np.ndarray,
+    visitors: np.ndarray,
+    members: np.ndarray,
+    block: int,
+    bits: int,
+    cosine: float,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places (visitor, member) of the links that this cell and block count."""
+    """Places (visitor, member) of the links that this cell and block count, ``x`` as given."""
+    z = rotated(x)
     width = z.shape[1]
     edges = blocks(width)
     lo, hi = edges[block]
@@ -78,22 +85,25 @@ def linked(
     limits = np.array([budget(width, e, cosine) for e in edges]) * (1 + 1e-9)
     own = z[members, lo:hi]
     norms = (own * own).sum(axis=1)
+    lengths = np.sqrt((x * x).sum(axis=1))
     left, right = [], []
-    for at in range(0, len(z), TILE):
-        part = z[at : at + TILE, lo:hi]
+    for at in range(0, len(visitors), TILE):
+        rows = visitors[at : at + TILE]
+        part = z[rows, lo:hi]
         rough = (part * part).sum(axis=1)[:, None] + norms - 2 * part @ own.T
         row, col = np.nonzero(rough <= limits[block] + 1e-9)
         for k in range(0, len(row), 50_000):
-            a, b = row[k : k + 50_000] + at, members[col[k : k + 50_000]]
+            a, b = rows[row[k : k + 50_000]], members[col[k : k + 50_000]]
             near = np.add.reduceat((z[a] - z[b]) ** 2, starts, axis=1) <= limits
             first = near[:, block] & ~near[:, :block].any(axis=1) & (ids[a] != ids[b])
             a, b = a[first], b[first]
-            x, y = z[a, lo : lo + signs], z[b, lo : lo + signs]
-            apart = (x > 0) != (y > 0)
-            mine, other = (x * x * apart).sum(axis=1), (y * y * apart).sum(axis=1)
+            u, v = z[a, lo : lo + signs], z[b, lo : lo + signs]
+            apart = (u > 0) != (v > 0)
+            mine, other = (u * u * apart).sum(axis=1), (v * v * apart).sum(axis=1)
             here = (mine < other) | ((mine == other) & (ids[a] < ids[b]))
             a, b = a[here], b[here]
-            close = (z[a] * z[b]).sum(axis=1) >= cosine
+            # the vectors themselves decide
+            close = (x[a] * x[b]).sum(axis=1) / (lengths[a] * lengths[b]) >= cosine
             left.append(a[close])
             right.append(b[close])
     none = np.zeros(0, np.int64)
@@ -110,9 +120,11 @@ def vector_links(
     the block's share of it.  In each block space is cut by the signs of some
     dimensions, more the more vectors there are; a vector is a member of its
     own cell and visits the cells that it reaches within half of the budget.
-    Cells of many members go in pieces.  A task compares visitors with members
-    in the block, verifies what is within the budget by the whole cosine, and
-    counts a pair once: in its first block, on the side that crosses for less.
+    Cells of many members or visitors go in pieces of 2048 of each, and a
+    task holds one piece of both.  It compares visitors with members in the
+    block, verifies what is within the budget by the cosine of the vectors as
+    given, and counts a pair once: in its first block, on the side that crosses
+    for less.
     It passes on counts and a spanning forest, never pairs.  Equal vectors are
     one from the start.
 
@@ -150,35 +162,35 @@ def vector_links(
     visits = nodes.select(F.col("node").alias("id"), "vector", "copies").mapInArrow(
         visit, f"cell long, member boolean, id long, vector {kind}, copies long"
     )
-    pieces = visits.where("member").groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("pieces")
+    pieces = visits.groupBy("cell").agg(
+        F.ceil(F.count_if("member") / CELL).cast("long").alias("members"),
+        F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("visitors"),
     )
-    dealt = visits.join(pieces, "cell").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")
-    )
-    dealt = dealt.select(
-        F.xxhash64("cell", "piece").alias("meet"),
-        "id",
-        "vector",
-        "cell",
-        (F.col("member") & (F.pmod("id", "pieces") == F.col("piece"))).alias("member"),
-        "copies",
+    counted = visits.join(pieces.where("members > 0"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    here = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
+    columns = ["id", "vector", "cell", "copies"]
+    dealt = counted.where("member").select(
+        *columns, F.lit(True).alias("member"), here("members").alias("m"), every("visitors").alias("v")
+    ).union(
+        counted.select(*columns, F.lit(False), every("members"), here("visitors"))
     )
+    dealt = dealt.select(F.xxhash64("cell", "m", "v").alias("meet"), "id", "vector", "cell", "member", "copies")
 
     def compare(ids: np.ndarray, part: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
         cell, member, copies = more
         block = (int(cell[0]) >> 16) & 0xFFFF
-        a, b = linked(ids, rotated(part), np.flatnonzero(member), block, bits, cosine)
+        a, b = linked(ids, part, np.flatnonzero(~member), np.flatnonzero(member), block, bits, cosine)
         counts = np.zeros(len(ids), np.int64)
         np.add.at(counts, a, copies[b])
         np.add.at(counts, b, copies[a])
         some = np.flatnonzero(counts)
-        tree = np.array(forest(a.tolist(), b.tolist()), np.int64).reshape(-1, 2)
+        tree = np.array(forest(ids[a].tolist(), ids[b].tolist()), np.int64).reshape(-1, 2)
         none = [None] * len(some)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((ids[some], ids[tree[:, 0]]))),
-                pa.array(none + ids[tree[:, 1]].tolist(), pa.int64()),
+                pa.array(np.concatenate((ids[some], tree[:, 0]))),
+                pa.array(none + tree[:, 1].tolist(), pa.int64()),
                 pa.array(counts[some].tolist() + [None] * len(tree), pa.int64()),
             ],
             ["a", "b", "links"],
