@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.session import scratch_table
+
 BLOCK = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path under the folder that ``spark.checkpoint.dir`` names.
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, lineage cut,
+    safe from lost executors."""
+    return scratch_table(df, "llm")
+
+
+def block_pairs(
+    members: DataFrame, visitors: DataFrame, columns: list[str], blocks: int, visitor_blocks: int
+) -> DataFrame:
+    """Every block of members with every block of visitors: ``meet``, the columns, ``visits``.
 
-    Only a session in local mode that names none (as in tests) gets a
-    temporary folder; elsewhere a missing setting is an error.
+    Rows are dealt to blocks by a hash of their columns, evenly if they differ.
+    A group of one ``meet`` is one block of each.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="corpusweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/corpusweave-{uuid.uuid4().hex}"
 
+    def dealt(part: DataFrame, own: int, other: int, name: str, against: str, visits: bool) -> DataFrame:
+        place = F.pmod(F.xxhash64(*columns), F.lit(own)).alias(name)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(against)
+        return part.select(*columns, F.lit(visits).alias("visits"), place, every).select(
+            F.xxhash64("block", "visitor_block").alias("meet"), *columns, "visits"
+        )
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, lineage cut,
-    safe from lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return dealt(members, blocks, visitor_blocks, "block", "visitor_block", False).union(
+        dealt(visitors, visitor_blocks, blocks, "visitor_block", "block", True)
+    )
+
+
+def in_groups(dealt: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``work`` to the rows of each ``meet``, the first column, in turn.
+
+    A partition is read once, in the order of ``meet``; one group is in memory at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            meets = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(meets)) + 1).tolist(), len(meets)]
+            for start, end in zip(edges, edges[1:]):
+                if end > start:
+                    if held and held[-1].column(0)[0].as_py() != meets[start]:
+                        yield work(pa.Table.from_batches(held).combine_chunks())
+                        held = []
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.repartition(F.col("meet")).sortWithinPartitions("meet").mapInArrow(run, schema)
 
 
 def prefix_sums(df: DataFrame, at: str, n: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,20 @@ import pyarrow.compute  # noqa: F401 - makes pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.llm.common import block_pairs, in_groups, written
+
 K = 10
-TREES = 12
-LEAF = 256
+TREES = 64
+LEAF = 32
 SEED = 5
 # the trees are fitted on at most so many vectors; every vector is indexed
 MAX_SAMPLE = 32_768
-# leaves are searched until they hold this share of the rows of one tree, all trees together
+# leaves are searched until they hold this share of the rows of one tree, all trees together,
+# rows that several leaves hold counted each time: about 0.6 of the rows are different
 SEARCH_SHARE = 1.0
-PIECE = 4096
+# rows of a block of vectors and of a block of queries
+BLOCK = 4096
+QUERIES = 512
 
 
 def usable(vector: Column) -> Column:
@@ -65,8 +71,8 @@ class Forest:
         roots = [build(np.arange(len(sample))) for _ in range(trees)]
         width = sample.shape[1]
         return Forest(
-            np.array(normals).reshape(-1, width),
-            np.array(offsets),
+            np.array(normals, np.float32).reshape(-1, width),
+            np.array(offsets, np.float32),
             np.array(children, np.int64).reshape(-1, 2),
             roots,
             np.array(shares),
@@ -150,107 +156,77 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest other rows by Euclidean distance, for rows where ``is_query``.
 
-    Every row goes to one leaf of each tree; a query goes to the leaves that
-    its search through all trees asks for.  Rows and queries of a leaf meet
-    in a task, leaves of many rows in pieces of 4096, and each piece gives
-    a query's k nearest exactly, in double precision.
+    Every row is in one leaf of each tree; a query looks into the leaves that
+    its search through all trees asks for.  Vectors are dealt into blocks of
+    about 4096 that carry their leaves, queries into blocks of about 512, and
+    each pair of blocks meets in a task: there a query's candidates are the rows
+    of its leaves, each once however many leaves hold it, and their distances
+    are exact, in double precision.
 
     Returns ``query_id, rank`` (from 1), ``vec_id, score``, ties to the smaller
     id; fewer rows if there are fewer others.  Vectors that are null, empty,
     zero or not finite take no part; vectors of different lengths never meet.
     Rows that repeat an id count as one if their vectors are equal too (else
     each has its distance, the smaller counts), and are no neighbours of
-    their own id.
+    their own id.  Other columns are not looked at, whatever their names.
     """
     rows = vectors.select(
         F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks")
     ).where(usable(F.col("vector")) & F.col("id").isNotNull())
+    # equal rows are one, so that blocks dealt by a hash are even
+    rows = written(rows.groupBy("id", "vector").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks")))
     forests = fit_forests(rows, max_sample, trees, leaf)
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
+    blocks = max(1, -(-counts.rows // BLOCK))
+    query_blocks = max(1, -(-counts.queries // QUERIES))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for width, at in _by_width(batch, 1):
-                if width not in forests:  # a length that the sample has missed: one leaf
-                    leaves = np.full((len(at), 1), -1)
-                else:
-                    part = _matrix(batch.column(1).take(pa.array(at)))
-                    leaves = forests[width].leaves(part)
-                again = np.repeat(at, leaves.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(again), width)),
-                        pa.array(leaves.ravel()),
-                        *[c.take(pa.array(again)) for c in batch.columns[:2]],
-                    ],
-                    ["width", "leaf", "id", "vector"],
-                )
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch], asking: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for width, at in _by_width(batch, 1):
                 part = _matrix(batch.column(1).take(pa.array(at)))
                 forest = forests.get(width)
-                found = [forest.search(v, share) if forest else [-1] for v in part]
-                again = np.repeat(at, [len(f) for f in found])
+                if forest is None:  # a length that the sample has missed: one leaf
+                    leaves = [np.zeros(1, np.int32)] * len(at)
+                elif asking:
+                    leaves = [np.array(forest.search(v, share), np.int32) for v in part]
+                else:
+                    leaves = list(forest.leaves(part).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(again), width)),
-                        pa.array(np.concatenate([np.array(f, np.int64) for f in found])),
-                        *[c.take(pa.array(again)) for c in batch.columns[:2]],
-                    ],
-                    ["width", "leaf", "id", "vector"],
+                    [*[c.take(pa.array(at)) for c in batch.columns], pa.array(leaves, pa.list_(pa.int32()))],
+                    ["id", "vector", "leaves"],
                 )
 
     kind = rows.schema["vector"].dataType.simpleString()
-    schema = f"width long, leaf long, id long, vector {kind}"
-    members = rows.select("id", "vector").mapInArrow(route, schema)
-    asking = rows.where("asks").select("id", "vector").mapInArrow(ask, schema)
-    sizes = members.groupBy("width", "leaf").agg(
-        F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces")
-    )
-    piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
-    members = members.join(sizes, ["width", "leaf"]).withColumn("piece", piece)
-    asking = asking.join(sizes, ["width", "leaf"]).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
-    )
-    meet = F.xxhash64("width", "leaf", "piece").alias("meet")
-    both = members.select(meet, "id", "vector", F.lit(False).alias("asks")).union(
-        asking.select(meet, "id", "vector", F.lit(True))
-    )
-
-    def compare(ids: np.ndarray, part: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
-        asks = more[0]
-        queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        # rows of one id side by side: they count as one, at their smallest distance
-        others = others[np.argsort(ids[others], kind="stable")]
-        names, starts, owner = np.unique(ids[others], return_index=True, return_inverse=True)
-        member, norms = part[others], (part[others] ** 2).sum(axis=1)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for q in queries if len(others) else ():
-            rough = norms - 2 * (member @ part[q])
-            least = np.minimum.reduceat(rough, starts)
-            least[names == ids[q]] = np.inf
-            near = _top(least, k)
-            near = near[names[near] != ids[q]]
-            if not len(near):
-                continue
-            chosen = np.zeros(len(names), bool)
-            chosen[near] = True
-            rows = np.flatnonzero(chosen[owner]) if len(names) < len(others) else near
-            exact = np.sqrt(((member[rows] - part[q]) ** 2).sum(axis=1))
-            exact = np.minimum.reduceat(exact, np.flatnonzero(np.diff(owner[rows], prepend=-1)))
-            first = np.lexsort((names[near], exact))[:k]
-            out[0].append(np.full(len(first), ids[q]))
-            out[1].append(names[near[first]])
-            out[2].append(exact[first])
-        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
+    schema = f"id long, vector {kind}, leaves array<int>"
+    members = rows.select("id", "vector").mapInArrow(partial(placed, asking=False), schema)
+    asking = rows.where("asks").select("id", "vector").mapInArrow(partial(placed, asking=True), schema)
+    both = block_pairs(members, asking, ["id", "vector", "leaves"], blocks, query_blocks)
+    sizes = {w: len(f.shares) for w, f in forests.items()}
+
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        ids, visits = group.column("id").to_numpy(), group.column("visits").to_numpy()
+        held, leaves = group.column("vector").chunk(0), group.column("leaves").chunk(0)
+        widths = pa.compute.list_value_length(held).to_numpy()
+        found = []
+        for width in np.unique(widths[visits]):
+            queries, others = (np.flatnonzero((widths == width) & v) for v in (visits, ~visits))
+            if len(others):
+                # rows of one id side by side: they count as one, at their smallest distance
+                others = others[np.argsort(ids[others], kind="stable")]
+                part = _matrix(held.take(pa.array(others)))
+                own = leaves.take(pa.array(others)).flatten().to_numpy().reshape(len(others), -1)
+                looked = [leaves[int(q)].values.to_numpy() for q in queries]
+                found += _nearest_in(
+                    ids[queries], _matrix(held.take(pa.array(queries))), looked, ids[others], part, own, sizes.get(int(width), 1), k
+                )
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds)],
             ["query_id", "vec_id", "score"],
         )
 
-    found = grouped(both, compare, "query_id long, vec_id long, score double")
+    found = in_groups(both, compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
@@ -260,6 +236,39 @@ def nearest(
     )
 
 
+def _nearest_in(
+    asking: np.ndarray,
+    vectors: np.ndarray,
+    looked: list[np.ndarray],
+    ids: np.ndarray,
+    part: np.ndarray,
+    leaves: np.ndarray,
+    n_leaves: int,
+    k: int,
+) -> list[tuple[np.ndarray, ...]]:
+    """The k nearest different ids of a block among the candidates of each query."""
+    norms = (part * part).sum(axis=1)
+    found = []
+    for name, vector, wanted in zip(asking, vectors, looked):
+        searched = np.zeros(n_leaves, bool)
+        searched[wanted] = True
+        rows = np.flatnonzero(searched[leaves].any(axis=1) & (ids != name))
+        if not len(rows):
+            continue
+        rough = norms[rows] - 2 * (part[rows] @ vector)
+        starts = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[0]] - 1))
+        least = np.minimum.reduceat(rough, starts)
+        near = np.zeros(len(starts), bool)
+        near[_top(least, k)] = True
+        rows = rows[np.repeat(near, np.diff(np.append(starts, len(rows))))]
+        exact = np.sqrt(((part[rows] - vector) ** 2).sum(axis=1))
+        starts = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[0]] - 1))
+        exact, names = np.minimum.reduceat(exact, starts), ids[rows[starts]]
+        first = np.lexsort((names, exact))[:k]
+        found.append((np.full(len(first), name), names[first], exact[first]))
+    return found
+
+
 def grouped(dealt: DataFrame, compare, schema: str) -> DataFrame:
     """Apply ``compare(ids, vectors, others)`` to the rows of each ``meet`` in turn.
 

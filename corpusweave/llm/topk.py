@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import written
+from corpusweave.llm.common import block_pairs, in_groups, written
 
 K = 5
 SCALE = 256
@@ -149,42 +147,13 @@ def top_k(
     blocks = max(1, -(-counts.rows // BLOCK))
     query_blocks = max(1, -(-counts.queries // QUERIES))
 
-    def dealt(part: DataFrame, own: int, other: int, name: str, against: str, asks: bool) -> DataFrame:
-        place = F.pmod(F.xxhash64("id", "weights"), F.lit(own)).alias(name)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(against)
-        return part.select("id", "weights", F.lit(asks).alias("asks"), place, every).select(
-            F.xxhash64("block", "query_block").alias("meet"), "id", "weights", "asks"
-        )
+    both = block_pairs(rows, rows.where("asks"), ["id", "weights"], blocks, query_blocks)
 
-    both = dealt(rows, blocks, query_blocks, "block", "query_block", False).union(
-        dealt(rows.where("asks"), query_blocks, blocks, "query_block", "block", True)
-    )
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        ids, asks = group.column("id").to_numpy(), group.column("visits").to_numpy()
+        return block_scores(ids, group.column("weights").chunk(0), asks, k)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def whole() -> pa.RecordBatch:
-            group = pa.Table.from_batches(held).combine_chunks()
-            ids, asks = group.column("id").to_numpy(), group.column("asks").to_numpy()
-            return block_scores(ids, group.column("weights").chunk(0), asks, k)
-
-        for batch in batches:
-            meets = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(meets)) + 1).tolist(), len(meets)]
-            for start, end in zip(edges, edges[1:]):
-                if end > start:
-                    if held and held[-1].column(0)[0].as_py() != meets[start]:
-                        yield whole()
-                        held = []
-                    held.append(batch.slice(start, end - start))
-        if held:
-            yield whole()
-
-    found = (
-        both.repartition(F.col("meet"))
-        .sortWithinPartitions("meet")
-        .mapInArrow(compare, "query_id long, vec_id long, score long")
-    )
+    found = in_groups(both, compare, "query_id long, vec_id long, score long")
     # an id may have rows in several blocks: its highest score counts
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
