@@ -58,7 +58,8 @@ ARTICLE = "<h1>T</h1><p>" + "said in the article " * 20 + "</p>"
 
 def main_text_of(source):
     page = html_text.parse(source)
-    return html_text.text_under(page, html_text.best_path(page)) or ""
+    path = html_text.best_path(page)
+    return path and html_text.text_under(page, path.key) or ""
 
 
 def test_loose_marks_do_not_remove_the_article():
@@ -81,6 +82,50 @@ def test_loose_marks_do_not_remove_the_article():
     assert main_text_of("<body><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></body>") == "so x=1 holds"
 
 
+def test_attributes_are_read_as_browsers_do():
+    assert main_text_of("<p title=it's>one</p><p>two</p><p>don't stop</p><p>rest</p>") == "one\ntwo\ndon't stop\nrest"
+    assert main_text_of('<p><a href="x"">one</a> two</p>') == "one two"
+    assert main_text_of("<p data-x='a>b' class = \"c>d\">one</p><p title='open>two</p>") == "one\ntwo"
+    assert main_text_of("<p x=a\"b>one</p><p hidden=>two</p><p>three") == "one\nthree"
+    body = ("said in the article " * 20).strip()
+    assert main_text_of(f"<article><header><h1>T</h1></header><p class='note share'>{body}</p><p>x</p></article>") == f"T\n{body}\nx"
+    assert main_text_of(f"<body><header>top</header><div>{ARTICLE}</div><p class=ad>buy</p></body>") == f"T\n{body}"
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    def cost(source):
+        tracemalloc.start()
+        began = time.process_time()
+        text = main_text_of(source)
+        taken = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return text, *taken
+
+    for opening in ("<div>x", "<div class=ad>x", "<b>x", "<ul><li>x", "<b><p>x", "<article>x", "</i><span>x"):
+        some, t1, m1 = cost(opening * 4000 + "end")
+        many, t2, m2 = cost(opening * 16_000 + "end")
+        assert some.endswith("end") and many.endswith("end")
+        assert m2 < 6 * m1 and t2 < 8 * t1 + 1, opening
+        assert m2 < 60e6
+
+
+def test_main_text_beyond_the_broadcast(spark, monkeypatch):
+    """Many hosts, one with a third of the pages; columns of clashing names, a map; null columns."""
+    rows = [(n, f"http://h{n % 40 if n % 3 else 0}.org/", FRAME.format(n=n, body=f"word{n} " * 30)) for n in range(120)]
+    rows += [(900, None, None), (901, "http://h1.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.select("*", F.lit("x").alias("host"), F.lit(1).alias("path"), F.lit(2).alias("part"), F.create_map(F.lit(1), "url").alias("m"))
+    want = {r.record.page_id: r.main_text for r in html_text.main_text(pages).collect()}
+    assert want[3].startswith("Title 3\n") and want[900] == want[901] == "" and len(want) == 122
+    monkeypatch.setattr(html_text, "MOST_WINNERS", 3)
+    monkeypatch.setattr(html_text, "PART_PAGES", 7)
+    got = html_text.main_text(pages).collect()
+    assert {r.record.page_id: r.main_text for r in got} == want and got[0].record.host == "x"
+
+
 def vectors(spark):
     rng = np.random.default_rng(7)
     v = rng.standard_normal((400, 24)).astype("f4")
@@ -115,6 +160,40 @@ def test_vector_links(spark):
     assert vector_links.vector_links(df.where("false")).count() == 0
 
 
+def plain_links(rows, cosine=0.95):
+    """(n_links, component) of each row by all pairs, in double precision."""
+    x = np.array([v for _, v in rows], float)
+    c = x @ x.T / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))
+    near = c >= cosine
+    top = np.arange(len(rows))
+    for _ in range(12):
+        top = np.array([top[n].min() for n in near])
+    ids = np.array([i for i, _ in rows])
+    return {i: (int(n.sum()) - 1, int(ids[top == t].min())) for i, n, t in zip(ids.tolist(), near, top)}
+
+
+def test_a_hot_cell_goes_in_pieces(spark, monkeypatch):
+    """One common direction that a third of all vectors lean to, more than a piece of members and
+    of visitors; a common vector; links right at the threshold."""
+    monkeypatch.setattr(vector_links, "CELL", 64)
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((900, 32))
+    v[:300] = v[0] + 0.22 * np.linalg.norm(v[0]) / np.sqrt(32) * rng.standard_normal((300, 32))
+    v[300:330] = v[299]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(
+        "*", F.lit(1).alias("cell"), F.lit(2).alias("member"), F.create_map(F.lit(1), "vec_id").alias("copies")
+    )
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.vector_links(df).collect()}
+    assert got == plain_links(rows)
+    assert max(n for n, _ in got.values()) > 128
+    # cos = 3/5 * 4/5 * 2 = 0.96 exactly, in vectors whose unit vectors can't be written down
+    exact = [(0, [3.0, 4.0]), (1, [4.0, 3.0]), (2, [30.0, 40.0]), (3, [-3.0, -4.0])]
+    small = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.vector_links(small, cosine=0.96).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
+
+
 def test_nearest(spark):
     rows, df = vectors(spark)
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, leaf=32, share=1.5).collect()

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -123,6 +124,63 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def family_rows(rng, sizes, tight):
+    """Members of families: sets that differ from their family's in some of 60 shingles."""
+    rows = []
+    for family, n in enumerate(sizes):
+        base = rng.choice(1 << 40, 60, replace=False)
+        for _ in range(n):
+            found = base.copy()
+            some = rng.choice(60, rng.integers(0, tight + 1), replace=False)
+            found[some] = rng.choice(1 << 40, len(some))
+            rows.append((family, len(rows), np.unique(found).tolist()))
+    return rows
+
+
+def linked_groups(pairs, nodes):
+    top = {n: n for n in nodes}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        top[max(root(a), root(b))] = min(root(a), root(b))
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("tight, percent", [(3, 80), (9, 80), (20, 80), (12, 60), (2, 100)])
+def test_family_links_connect_what_is_linked(spark, monkeypatch, tight, percent):
+    """Tight and loose families against all pairs, over several blocks."""
+    monkeypatch.setattr(near_duplicates, "FAMILY_BLOCK", 8)
+    rows = family_rows(np.random.default_rng(tight), [90, 1, 40, 2], tight)
+    members = spark.createDataFrame(rows, "family long, node long, found array<long>")
+    sets = {n: (f, frozenset(s)) for f, n, s in rows}
+    pairs = [
+        (a, b) for a, (f, x) in sets.items() for b, (g, y) in sets.items()
+        if a < b and f == g and 100 * len(x & y) >= percent * len(x | y) and percent < 100
+    ]
+    got = [(r.a, r.b) for r in near_duplicates.family_links(members, percent).collect()]
+    real = {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert set(got) <= real
+    assert linked_groups(got, sets) == linked_groups(pairs, sets)
+
+
+def test_a_family_of_20_000_is_not_copied(spark):
+    """Near copies of one text: all are linked to the leader, none meets the others."""
+    rows = family_rows(np.random.default_rng(5), [20_000], 3)
+    members = spark.createDataFrame(rows, "family long, node long, found array<long>")
+    rings = near_duplicates.ringed(members, 80)
+    assert {r.ring: r["count"] for r in rings.groupBy("ring").count().collect()} == {0: 20_000}
+    assert near_duplicates.block_meetings(rings).count() == 0
+    # with one in a hundred further off, the copies are those of the few
+    off = [(0, 50_000 + k, [10**15 + i + 60 * k for i in range(12)] + rows[0][2][12:]) for k in range(200)]
+    members = members.union(spark.createDataFrame(off, members.schema))
+    # (200 members in 2 blocks against 158 blocks), not those of all 158 x 158 blocks
+    assert near_duplicates.block_meetings(near_duplicates.ringed(members, 80)).count() < 4 * 20_200 < 20_200 * 158 / 30
+
+
 def test_signature_distance_counts_symbols():
     a, b = near_duplicates._functions()
     rng = np.random.default_rng(0)
@@ -157,9 +215,15 @@ def test_pack(docs, empty):
 def test_words_give_the_ids_of_the_text():
     path = vocabulary("word_bpe_49k.json")
     ids = packing.WordIds(path)
-    for text in ["a,b.c D.., É. 's I'll, x<|endoftext|>y", " \xa0x\x85y ΑΣ. İ. ß, ３. á.", "", prose(3, 50)]:
-        want = packing._tokenizer(path).encode(text, add_special_tokens=False).ids
-        assert ids(text) == np.array(want, "<u4").tobytes()
+    texts = ["a,b.c D.., É. 's I'll, x<|endoftext|>y", " \xa0x\x85y ΑΣ. İ. ß, ３. á.", "", prose(3, 50), None, "\n\t a\rb\x0bc\x0cd \n"]
+    texts += [texts[3] * 20, "  ", texts[0]]
+    for some in (texts, texts[2:3], texts[4:5], [], texts[1:4]):
+        data, begins = ids(pa.array(["skipped", *some], pa.string()).slice(1))
+        assert len(begins) == len(some) + 1
+        for text, begin, end in zip(some, begins, begins[1:]):
+            want = packing._tokenizer(path).encode(text or "", add_special_tokens=False).ids
+            assert data[begin:end].tobytes() == np.array(want, "<u4").tobytes()
+    assert list(packing._slices(pa.array(["aa", None, "aaa", "a" * 50, "a", ""]), 5)) == [(0, 3), (3, 4), (4, 6)]
 
 
 def test_plan_uses_every_piece_and_wastes_little():
