@@ -19,9 +19,11 @@ UNIT = 16
 DEPTH = 3
 END_ID = 2
 # words whose ids a worker remembers; at the limit it starts afresh
-MEMORY = 500_000
+MEMORY = 300_000
 # bytes of text whose words are made unique together
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
+# words that go to the tokenizer at a time: what it returns is far larger than they are
+LOOK_UP = 4096
 PART_ROWS = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -74,7 +76,8 @@ class WordIds:
                 known.clear()
                 known.update({"": b""})
                 new = [w for w in stems if w]
-            self._look_up(new)
+            for k in range(0, len(new), LOOK_UP):
+                self._look_up(new[k : k + LOOK_UP])
         return [known[w] for w in stems]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +159,9 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)], names
             )
+        # the worker lives on, for tasks of other kinds
+        encode.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, schema)
 
