@@ -124,6 +124,28 @@ def test_named_files(spark):
         write(spark.createDataFrame([("../x", "y")], "name string, content string"), path)
 
 
+def test_named_files_on_shelves(spark):
+    """Dealt to folders by name, which tasks list; the driver knows the folders alone."""
+    path = scratch_path(spark, "shelved")
+    rows = [(f"n{i}.txt", "é" * (i % 3)) for i in range(200)]
+    files = spark.createDataFrame(rows, "name string, content string")
+    named_files.write_named_files(files, path, 4)
+    named_files.write_named_files(files.where("name = 'n7.txt'"), path, 4)
+    named_files.write_named_files(spark.createDataFrame([("n_loose.txt", "x")], "name string, content string"), path)
+    folders_ = [f for f in Path(path).iterdir() if f.is_dir()]
+    assert len(folders_) == 4 and sum(1 for f in folders_ for _ in f.iterdir()) == 200
+    deeper = Path(path) / "other" / "deep"
+    deeper.mkdir(parents=True)
+    (deeper / "n_deep.txt").write_text("y")
+    got = sorted((r.name, bytes(r.content).decode()) for r in named_files.read_named_files(spark, path).collect())
+    assert got == sorted([*rows, ("n_loose.txt", "x"), ("n_deep.txt", "y")])
+    dealt = named_files.NamedFileReader(path, "*").partitions()
+    assert sum(len(p.paths) for p in dealt) == 2
+    assert sorted(p.shelf for p in dealt if p.shelf) == sorted(str(f) for f in folders_)
+    some = named_files.read_named_files(spark, path, "n1?.txt")
+    assert some.count() == 10
+
+
 def test_names(spark):
     lit = F.lit
     base = naming.unit_artefact(lit("S"), lit(94), lit("gpt-5.2"), lit("draft"))
