@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401 - makes pa.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import components, forest, written
+from corpusweave.llm.common import components, forest, in_groups, written
 from corpusweave.llm.neighbours import _by_width, _matrix, grouped, usable
 
 COSINE = 0.95
 BLOCK = 16
 SEED = 3
-CELL = 2048
+# Members that a cell should have, and twice as many rows make a piece of it; of whole vectors
+# an eighth makes one.
+CELL = 16384
 MAX_BITS = 12
 TILE = 512
+# Rows of a chunk, coordinates as integers of 16 bits, and comparisons of a task.
+CHUNK = 64
+ONE = 32767
+TASK_PAIRS = 1 << 30
 
 
 @cache
@@ -66,6 +73,54 @@ def reach(z: np.ndarray, bits: int, most: float) -> tuple[np.ndarray, np.ndarray
     return np.nonzero(cost <= most / 2 * (1 + 1e-9))
 
 
+def _spread(values: pa.RecordBatch | pa.Table, name: str, kind: str) -> np.ndarray:
+    """The numbers in the binary cells of a column, one after the other."""
+    return np.frombuffer(b"".join(values.column(name).to_pylist()), kind)
+
+
+def _chunks(
+    key: int, cells: np.ndarray, member: bool, ids: np.ndarray, places: np.ndarray
+) -> pa.RecordBatch:
+    """Rows of ascending cells as chunks of at most 64 rows of one cell: ids and places as bytes."""
+    cuts = np.flatnonzero(np.diff(cells, prepend=-1))
+    ends = np.append(cuts[1:], len(cells))
+    at = np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b, CHUNK) for a, b in zip(cuts, ends)]])
+    edges = np.append(at, len(cells))
+
+    def packed(values: np.ndarray, size: int) -> pa.Array:
+        buffers = [None, pa.py_buffer((edges * size).astype(np.int32)), pa.py_buffer(values.tobytes())]
+        return pa.Array.from_buffers(pa.binary(), len(at), buffers)
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key + cells[at]),
+            pa.array(np.full(len(at), member)),
+            packed(ids, 8),
+            packed(places, 2 * places.shape[1]),
+        ],
+        ["cell", "member", "ids", "places"],
+    )
+
+
+def near_rows(
+    ids: np.ndarray, places: np.ndarray, asks: np.ndarray, asked: np.ndarray, limit: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which visitors ``(ids, places)`` have a member ``(asks, asked)`` of another id within
+    ``limit``, a squared distance, and which members a visitor; places as integers."""
+    mine, other = places.astype(np.float32) / ONE, asked.astype(np.float32) / ONE
+    slack = np.float32(limit + 1e-5) - (mine * mine).sum(axis=1)
+    left = np.column_stack([2 * mine, -np.ones(len(mine), np.float32), slack])
+    right = np.column_stack([other, (other * other).sum(axis=1), np.ones(len(other), np.float32)]).T
+    visits, visited = np.zeros(len(ids), bool), np.zeros(len(asks), bool)
+    width = max(1, (1 << 23) // max(1, len(asks)))
+    for at in range(0, len(ids), width):
+        found = np.flatnonzero(left[at : at + width] @ right >= 0)
+        row, col = at + found // max(1, len(asks)), found % max(1, len(asks))
+        apart = ids[row] != asks[col]
+        visits[row[apart]] = visited[col[apart]] = True
+    return visits, visited
+
+
 def linked(
     ids: np.ndarray,
     x: np.ndarray,
@@ -110,6 +165,32 @@ def linked(
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _dealt(rows: DataFrame, counts: DataFrame, size: int, salt: Column, columns: list[str]) -> DataFrame:
+    """Every piece of the members of a cell with every piece of its visitors: ``meet`` and the columns.
+
+    ``counts(cell, members, visitors)``; pieces have about ``size`` rows, dealt by ``salt``.  Only cells of
+    several pieces, or without a member, are looked up.
+    """
+    pieces = counts.select(
+        "cell",
+        F.ceil(F.col("members") / size).cast("long").alias("_members"),
+        F.ceil(F.col("visitors") / size).cast("long").alias("_visitors"),
+    ).where("_members <> 1 or _visitors <> 1")
+    one = F.lit(1).cast("long")
+    told = rows.join(F.broadcast(pieces), "cell", "left").withColumns(
+        {n: F.coalesce(n, one) for n in ("_members", "_visitors")}
+    )
+    every = lambda n: F.sequence(one, F.col(n))
+    here = lambda n: F.pmod(F.xxhash64(salt, F.lit(n)), F.col(n)) + 1
+    member = F.transform(every("_visitors"), lambda v: F.struct(here("_members").alias("m"), v.alias("v")))
+    visitor = F.transform(every("_members"), lambda m: F.struct(m.alias("m"), here("_visitors").alias("v")))
+    return (
+        told.where("_members > 0 and _visitors > 0")
+        .select(*columns, F.inline(F.when(F.col("member"), member).otherwise(visitor)))
+        .select(F.xxhash64("cell", "m", "v").alias("meet"), *columns)
+    )
+
+
 def vector_links(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE
 ) -> DataFrame:
@@ -120,12 +201,16 @@ def vector_links(
     the block's share of it.  In each block space is cut by the signs of some
     dimensions, more the more vectors there are; a vector is a member of its
     own cell and visits the cells that it reaches within half of the budget.
-    Cells of many members or visitors go in pieces of 2048 of each, and a
-    task holds one piece of both.  It compares visitors with members in the
-    block, verifies what is within the budget by the cosine of the vectors as
-    given, and counts a pair once: in its first block, on the side that crosses
-    for less.
-    It passes on counts and a spanning forest, never pairs.  Equal vectors are
+    Cells of many members or visitors go in pieces, and a task holds one piece
+    of both.
+
+    Rows first meet with their coordinates in the block alone, as integers of 16
+    bits: what has another row within the budget there, rounding allowed for, is
+    written, ids only.  Only these rows meet once more in their cells, with whole
+    vectors: visitors are compared with members in the block, what is within the
+    budget is verified by the cosine of the vectors as given, and a pair is
+    counted once: in its first block, on the side that crosses for less.
+    This passes on counts and a spanning forest, never pairs.  Equal vectors are
     one from the start.
 
     Returns a row per input row: ``vec_id, n_links`` (other rows linked
@@ -141,41 +226,63 @@ def vector_links(
     nodes = written(nodes.agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")))
     bits = max(0, min(MAX_BITS, int(np.ceil(np.log2(max(nodes.count(), 1) / CELL)))))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for width, at in _by_width(batch, 1):
                 z = rotated(_matrix(batch.column(1).take(pa.array(at))))
                 for b, (lo, hi) in enumerate(blocks(width)):
                     part = z[:, lo:hi]
                     signs = min(bits, hi - lo)
                     row, cell = reach(part, signs, budget(width, (lo, hi), cosine))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((np.int64(width) << 32) + (b << 16) + cell),
-                            pa.array(_cells(part, signs)[row] == cell),
-                            *[c.take(pa.array(at[row])) for c in batch.columns],
-                        ],
-                        ["cell", "member", "id", "vector", "copies"],
-                    )
-
-    kind = nodes.schema["vector"].dataType.simpleString()
-    visits = nodes.select(F.col("node").alias("id"), "vector", "copies").mapInArrow(
-        visit, f"cell long, member boolean, id long, vector {kind}, copies long"
-    )
-    pieces = visits.groupBy("cell").agg(
-        F.ceil(F.count_if("member") / CELL).cast("long").alias("members"),
-        F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("visitors"),
-    )
-    counted = visits.join(pieces.where("members > 0"), "cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    here = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
-    columns = ["id", "vector", "cell", "copies"]
-    dealt = counted.where("member").select(
-        *columns, F.lit(True).alias("member"), here("members").alias("m"), every("visitors").alias("v")
-    ).union(
-        counted.select(*columns, F.lit(False), every("members"), here("visitors"))
-    )
-    dealt = dealt.select(F.xxhash64("cell", "m", "v").alias("meet"), "id", "vector", "cell", "member", "copies")
+                    own = _cells(part, signs)
+                    key = (width << 32) + (b << 16)
+                    if count:
+                        some = np.unique(cell)
+                        members = np.bincount(own, minlength=1 << signs)[some]
+                        visitors = np.bincount(cell, minlength=1 << signs)[some]
+                        columns = [pa.array(c.astype(np.int64)) for c in (key + some, members, visitors)]
+                        yield pa.RecordBatch.from_arrays(columns, ["cell", "members", "visitors"])
+                        continue
+                    places = np.rint(part * ONE).astype(np.int16)
+                    for member, rows, cells in ((True, np.arange(len(own)), own), (False, row, cell)):
+                        order = np.argsort(cells, kind="stable")
+                        rows = rows[order]
+                        yield _chunks(key, cells[order], member, ids[at[rows]], places[rows])
+
+    pairs = nodes.select(F.col("node").alias("id"), "vector")
+    counts = pairs.mapInArrow(partial(visit, count=True), "cell long, members long, visitors long")
+    counts = written(counts.groupBy("cell").agg(F.sum("members").alias("members"), F.sum("visitors").alias("visitors")))
+    n_pairs = counts.agg(F.sum(F.col("members").cast("double") * F.col("visitors"))).first()[0] or 0
+    sent = pairs.mapInArrow(partial(visit, count=False), "cell long, member boolean, ids binary, places binary")
+    met = _dealt(sent, counts, 2 * CELL, F.xxhash64("ids"), ["cell", "member", "ids", "places"])
+
+    def sift(rows: pa.Table) -> pa.RecordBatch:
+        cell = rows.column("cell")[0].as_py()
+        lo, hi = blocks(cell >> 32)[(cell >> 16) & 0xFFFF]
+        # coordinates are off by half a unit at most, in both rows
+        limit = (np.sqrt(budget(cell >> 32, (lo, hi), cosine)) + np.sqrt(hi - lo) / ONE) ** 2
+        sides = [rows.filter(rows.column("member")), rows.filter(pa.compute.invert(rows.column("member")))]
+        (asks, asked), (ids, places) = [
+            (_spread(side, "ids", np.int64), _spread(side, "places", np.int16).reshape(-1, hi - lo)) for side in sides
+        ]
+        visits, visited = near_rows(ids, places, asks, asked, limit)
+        some = np.concatenate((asks[visited], ids[visits]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(some), cell)),
+                pa.array(np.arange(len(some)) < visited.sum()),
+                pa.array(some),
+            ],
+            ["cell", "member", "id"],
+        )
+
+    # as many tasks as there is to compare, which the bytes do not tell
+    tasks = max(1, min(int(n_pairs // TASK_PAIRS) + 1, 1 << 16))
+    near = written(in_groups(met, sift, "cell long, member boolean, id long", tasks).distinct())
+    counts = near.groupBy("cell").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("visitors"))
+    whole = near.join(nodes.select(F.col("node").alias("id"), "vector", "copies"), "id")
+    dealt = _dealt(whole, counts, max(1, CELL // 8), F.xxhash64("id"), ["id", "vector", "cell", "member", "copies"])
 
     def compare(ids: np.ndarray, part: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
         cell, member, copies = more

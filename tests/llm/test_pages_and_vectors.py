@@ -194,6 +194,48 @@ def test_a_hot_cell_goes_in_pieces(spark, monkeypatch):
     assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
 
 
+def test_whole_vectors_meet_only_where_they_are_near(spark, monkeypatch):
+    """Rows without a near one are sent to their cells with the coordinates of a block alone."""
+    monkeypatch.setattr(vector_links, "CELL", 128)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((2000, 64)).astype(np.float32)
+    v[1990:] = v[:10] + rng.normal(0, 0.2, (10, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent = {}
+
+    def counted(kind, run):
+        def meet(dealt, *args):
+            cells = [F.size(c) * 4 if t.startswith("array") else F.octet_length(c) for c, t in dealt.dtypes if t == "binary" or t.startswith("array")]
+            sent[kind] = dealt.agg(F.sum(sum(cells))).first()[0] or 0
+            return run(dealt, *args)
+        return meet
+
+    for name in ("grouped", "in_groups"):
+        if hasattr(vector_links, name):
+            monkeypatch.setattr(vector_links, name, counted(name, getattr(vector_links, name)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.vector_links(df).collect()}
+    assert got == plain_links(rows)
+    assert sum(n for n, _ in got.values()) == 20
+    # about 24 copies of a row; of whole vectors a copy would be 256 bytes
+    assert sent["grouped"] < 200 * 256
+    assert sum(sent.values()) < 2000 * 64 * 4 * 8
+
+
+def test_near_rows_of_a_block():
+    """Every pair within the limit is found, as if all were compared; a row is not its own partner."""
+    rng = np.random.default_rng(6)
+    part = 0.3 * rng.standard_normal((300, 16))
+    part[200:] = part[:100] + rng.normal(0, 0.03, (100, 16))
+    places = np.rint(part.clip(-1, 1) * vector_links.ONE).astype(np.int16)
+    ids = np.arange(300)
+    visits, visited = vector_links.near_rows(ids, places, ids[:250], places[:250], 0.01)
+    apart = ((part[:, None] - part[None, :250]) ** 2).sum(axis=2) + 9 * (ids[:, None] == ids[:250])
+    assert (visits >= (apart <= 0.01).any(axis=1)).all() and (visited >= (apart <= 0.01).any(axis=0)).all()
+    assert (visits <= (apart <= 0.0101).any(axis=1)).all() and 0 < visits.sum() < 300
+    assert not vector_links.near_rows(ids, places, ids[:0], places[:0], 0.01)[0].any()
+
+
 def test_nearest(spark):
     rows, df = vectors(spark)
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, leaf=32, share=1.5).collect()
