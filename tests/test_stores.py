@@ -603,3 +603,23 @@ def test_a_replayed_micro_batch_changes_nothing(spark, tmp_path, monkeypatch):
 def test_corpora_differ(spark):
     works = {r.corpus: [] for r in works_table(spark).collect()}
     assert set(works) == {YD, ORACH_CHAYIM.key}
+
+
+def test_many_small_files_go_in_waves(spark, monkeypatch, tmp_path):
+    """No more files than a wave has lie there at a time, none stay, and the rows are the same."""
+    from corpusweave.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(str, catalog.relations_scan(spark, sf).collect()))
+    held, write = [], catalog.artefacts.write_artefact_files
+
+    def written(artefacts, path, shelves=0):
+        write(artefacts, path, shelves)
+        held.append(sum(1 for p in tmp_path.rglob("*_Relations_*.txt")))
+
+    monkeypatch.setattr(catalog.artefacts, "write_artefact_files", written)
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(catalog, "WAVE_FILES", len(want) // 3, raising=False)
+    got = sorted(map(str, catalog.relations_scan(spark, sf).collect()))
+    assert got == want and sum(held) == len(want) > 100
+    assert max(held) < len(want) / 2 and not list(tmp_path.rglob("*_Relations_*.txt"))
